@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecquarry.llm import copies, lookalike
+from vecquarry.llm import copies, lookalike, neighbours, overlaps
 from vecquarry.session import table
 
 
@@ -24,5 +24,19 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_rows(table(spark, d, "datacomp_pool", "row_id", "text"), "row_id").select("row_id", "canon")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_canonical)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "laion_cache", "row_id", "image_features", "text_features")
+    return neighbours.similar_vectors(df).select("direction", "row_id", "nn_row_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "datacomp_pool", "row_id", "split", "text", "b32_img")
+    return overlaps.cross_split_pairs(df).select("row_id_a", "row_id_b").distinct()
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.overlap_report(table(spark, d, "datacomp_pool", "row_id", "split", "source", "text", "b32_img"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_canonical, p5_found, p6_found, p6_report)}
 SQL: dict[str, str] = {}
