@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecquarry.llm import copies, lookalike, neighbours, overlaps
+from vecquarry.llm import clusters, copies, lookalike, neighbours, overlaps
 from vecquarry.session import table
 
 
@@ -38,5 +38,23 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.overlap_report(table(spark, d, "datacomp_pool", "row_id", "split", "source", "text", "b32_img"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_canonical, p5_found, p6_found, p6_report)}
+def _images(spark: SparkSession, d: str) -> dict:
+    columns = {"datacomp_pool": "b32_img", "laion_cache": "image_features"}
+    return {t: (table(spark, d, t, "row_id", c), "row_id", c) for t, c in columns.items()}
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.clusters_found(_images(spark, d))
+
+
+def p7_described(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.described(_images(spark, d))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_collapsed, p2_found, p2_canonical, p5_found, p6_found, p6_report, p7_found, p7_described,
+    )
+}
 SQL: dict[str, str] = {}

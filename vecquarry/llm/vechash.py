@@ -248,12 +248,14 @@ def compare(table: pa.Table, hashing: Hashing, least: dict[int, float], k: int,
     return pa.Table.from_arrays([pa.array(kind[hq].astype(np.int32)), pa.array(ids[hq]), pa.array(ids[hb]), pa.array(exact)], names=HITS.names)
 
 
-def nearest(vectors: DataFrame, hashing: Hashing, least: dict[int, float], k: int, centres: dict[int, list[float]] | None = None, selfless: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, hashing: Hashing, least: dict[int, float], k: int, centres: dict[int, list[float]] | None = None, selfless: bool = False, by_kind: bool = False) -> DataFrame:
     """``kind, id, nn, cos``: for each asking vector its up to ``k`` nearest stored vectors of at least ``least[kind]``
     that any table's visited buckets hold. Copies of one hit from several tables are merged by the caller's top-k or
     ``distinct``: they are equal in all columns.
     """
     routed = route(vectors, hashing, centres)
+    if by_kind:  # a group of its own for each kind
+        routed = routed.withColumn("grp", F.col("grp").bitwiseXOR(F.col("kind").cast("bigint")))
     sizes = routed.groupBy("tab", "grp").agg(F.sum(F.col("stored").cast("int")).alias("n_stored"), F.sum(F.col("asks").cast("int")).alias("n_asks"))
     hot = sizes.filter((F.col("n_stored") > hashing.block) | (F.col("n_asks") > 4 * hashing.block))
     # A grid over the few groups that are too large; the list has at most (rows / block) entries.
