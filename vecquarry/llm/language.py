@@ -170,7 +170,7 @@ def _decide(texts: Texts, cost: np.ndarray, margin: float) -> tuple[np.ndarray,
     return at, lang, conf
 
 
-def segments(df: DataFrame, key: str, text: str, cost: np.ndarray, margin: float = 0.15) -> DataFrame:
+def segments(df: DataFrame, key: str, text: str, cost: np.ndarray, margin: float = 0.5) -> DataFrame:
     """``id, line, lang, confidence, n_bytes`` of every scored line."""
     model = df.sparkSession.sparkContext.broadcast(cost)
 
@@ -192,7 +192,7 @@ def segments(df: DataFrame, key: str, text: str, cost: np.ndarray, margin: float
 FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("lang", T.StringType())])
 
 
-def wrong_labels(df: DataFrame, cost: np.ndarray, key: str = "doc_id", text: str = "text", lang: str = "lang", margin: float = 0.15) -> DataFrame:
+def wrong_labels(df: DataFrame, cost: np.ndarray, key: str = "doc_id", text: str = "text", lang: str = "lang", margin: float = 0.5) -> DataFrame:
     """``<key>, lang``: the languages of each document whose label is missing or isn't exactly what its lines are in."""
     model = df.sparkSession.sparkContext.broadcast(cost)
 

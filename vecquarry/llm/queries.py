@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecquarry.llm import clusters, copies, lookalike, neighbours, overlaps
+from vecquarry.llm import clusters, copies, language, lookalike, neighbours, overlaps
 from vecquarry.session import table
 
 
@@ -24,6 +24,24 @@ def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_rows(table(spark, d, "datacomp_pool", "row_id", "text"), "row_id").select("row_id", "canon")
 
 
+def _languages(spark: SparkSession, d: str) -> tuple:
+    df = table(spark, d, "documents", "doc_id", "text", "lang")
+    return df, language.train(df, "doc_id", "text", "lang")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(*_languages(spark, d))
+
+
+def p3_documents(spark: SparkSession, d: str) -> DataFrame:
+    return language.document_languages(*_languages(spark, d))
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    df, cost = _languages(spark, d)
+    return language.segments(df, "doc_id", "text", cost).withColumnRenamed("id", "doc_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "laion_cache", "row_id", "image_features", "text_features")
     return neighbours.similar_vectors(df).select("direction", "row_id", "nn_row_id")
@@ -54,7 +72,7 @@ def p7_described(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_collapsed, p2_found, p2_canonical, p5_found, p6_found, p6_report, p7_found, p7_described,
+        p1_found, p1_collapsed, p2_found, p2_canonical, p3_found, p3_documents, p3_segments, p5_found, p6_found, p6_report, p7_found, p7_described,
     )
 }
 SQL: dict[str, str] = {}
