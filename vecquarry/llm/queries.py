@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecquarry.llm import clusters, copies, language, lookalike, neighbours, overlaps
+from vecquarry.llm import clusters, copies, language, leaks, lookalike, neighbours, overlaps
 from vecquarry.session import table
 
 
@@ -69,10 +69,23 @@ def p7_described(spark: SparkSession, d: str) -> DataFrame:
     return clusters.described(_images(spark, d))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_passages", "item_id", "text"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_removals(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.removals(_leaks(spark, d))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_collapsed, p2_found, p2_canonical, p3_found, p3_documents, p3_segments, p5_found, p6_found, p6_report, p7_found, p7_described,
+        p9_found, p9_removals,
     )
 }
 SQL: dict[str, str] = {}
