@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecquarry.llm import clusters, copies, language, leaks, lookalike, neighbours, overlaps
+from vecquarry.llm import clusters, copies, language, leaks, lookalike, neighbours, overlaps, packing
 from vecquarry.session import table
 
 
@@ -69,6 +69,18 @@ def p7_described(spark: SparkSession, d: str) -> DataFrame:
     return clusters.described(_images(spark, d))
 
 
+def _packs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "documents", "doc_id", "text"), table(spark, d, "pack_sizes")
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_all(*_packs(spark, d))
+
+
+def p8_filled(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(*_packs(spark, d))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_passages", "item_id", "text"))
 
@@ -85,7 +97,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_collapsed, p2_found, p2_canonical, p3_found, p3_documents, p3_segments, p5_found, p6_found, p6_report, p7_found, p7_described,
-        p9_found, p9_removals,
+        p8_packed, p8_filled, p9_found, p9_removals,
     )
 }
 SQL: dict[str, str] = {}

@@ -35,20 +35,22 @@ def valid(vec: Column, dim: int = DIM) -> Column:
 
 @dataclass(frozen=True)
 class Hashing:
-    """Parameters of the tables; ``reach`` is the distance between near vectors for which probes are estimated."""
+    """Parameters of the tables; ``reach`` and ``route_reach`` bound the boundary
+    distance of probed buckets and groups; a probed group costs a copy of the vector, a probed bucket only time."""
 
     coarse: int
     fine: int
-    tables: int = 3
+    tables: int = 2
     width: float = 2.5
     reach: float = 0.4
+    route_reach: float = 0.2
     block: int = 50_000
     dim: int = DIM
     seed: int = 20
 
     @staticmethod
     def sized(n: int, group: int = 32_000, bucket: int = 600, **more) -> Hashing:
-        coarse = max(0, round(math.log(max(n, 1) / group) / -math.log(P_FAR)))
+        coarse = max(3, round(math.log(max(n, 1) / group) / -math.log(P_FAR)))
         fine = max(1, round(math.log(max(min(n, group), 1) / bucket) / -math.log(P_FAR)) + 1)
         return Hashing(coarse=coarse, fine=fine, **more)
 
@@ -140,7 +142,7 @@ def route(vectors: DataFrame, hashing: Hashing, centres: dict[int, list[float]]
             for t in range(hashing.tables):
                 h, low = hashing.cells(u, t)
                 c = hashing.coarse
-                for i, (rows, code) in enumerate(_probes(h[:, :c], low[:, :c], hashing.width, hashing.reach)):
+                for i, (rows, code) in enumerate(_probes(h[:, :c], low[:, :c], hashing.width, hashing.route_reach)):
                     keep = (stored | asks)[rows] if i == 0 else asks[rows]
                     rows, code = rows[keep], code[keep]
                     if len(rows):
@@ -155,12 +157,12 @@ def route(vectors: DataFrame, hashing: Hashing, centres: dict[int, list[float]]
 
 
 def hash_input(x: np.ndarray, kind: np.ndarray, centres: dict[int, np.ndarray]) -> np.ndarray:
-    u = unit(x)
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-30))
     for k, centre in centres.items():
         at = kind == k
-        r = u[at] - centre
-        u[at] = r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-12)
-    return u.astype(np.float32)
+        r = u[at] - centre.astype(np.float32)
+        u[at] = r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), np.float32(1e-12))
+    return u
 
 
 def _best(q: np.ndarray, cos: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray:
@@ -190,14 +192,14 @@ def compare(table: pa.Table, hashing: Hashing, least: dict[int, float], k: int,
     none = pa.Table.from_arrays([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.float64())], names=HITS.names)
     x, kind, ids = matrix(table.column("vec"), hashing.dim), np.asarray(table.column("kind")), np.asarray(table.column("id"))
     stored, asks = (np.asarray(table.column(c).cast(pa.int8())).astype(bool) for c in ("stored", "asks"))
-    b_at, q_at = np.flatnonzero(stored), np.flatnonzero(asks)
+    b_at = _distinct(x, ids, np.flatnonzero(stored))
+    q_at = np.concatenate([_distinct(x, ids, np.flatnonzero(asks & (kind == v))) for v in least])
     if not len(b_at) or not len(q_at):
         return none
     t, c = int(table.column("tab")[0].as_py()), hashing.coarse
     h, low = hashing.cells(hash_input(x, kind, centres), t)
-    h, low = h[:, c:], low[:, c:]
-    u = unit(x)
-    u32 = u.astype(np.float32)
+    h, low = h[:, c:], low[:, c:].astype(np.float32)
+    u32 = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), np.float32(1e-30))
     code = _code(h[b_at])
     order = np.argsort(code, kind="stable")
     b_at, code = b_at[order], code[order]
@@ -238,8 +240,9 @@ def compare(table: pa.Table, hashing: Hashing, least: dict[int, float], k: int,
     keep = _best(hq, hs, ids[b_at[hb]], spare)
     hq, hb = q_at[hq[keep]], b_at[hb[keep]]
     exact = np.empty(len(hq))
-    for at in range(0, len(hq), 200_000):
-        exact[at : at + 200_000] = np.einsum("ij,ij->i", u[hq[at : at + 200_000]], u[hb[at : at + 200_000]])
+    for at in range(0, len(hq), 20_000):
+        part = slice(at, at + 20_000)
+        exact[part] = np.einsum("ij,ij->i", unit(x[hq[part]]), unit(x[hb[part]]))
     exact = np.round(exact, 12)
     keep = exact >= np.array([least[int(v)] for v in kind[hq]])
     hq, hb, exact = hq[keep], hb[keep], exact[keep]
@@ -249,10 +252,11 @@ def compare(table: pa.Table, hashing: Hashing, least: dict[int, float], k: int,
 
 
 def nearest(vectors: DataFrame, hashing: Hashing, least: dict[int, float], k: int, centres: dict[int, list[float]] | None = None, selfless: bool = False, by_kind: bool = False) -> DataFrame:
-    """``kind, id, nn, cos``: for each asking vector its up to ``k`` nearest stored vectors of at least ``least[kind]``
+    """``kind, id, nn, cos``: identical vectors are one, named by their smallest id. For each asking vector its up to ``k`` nearest stored vectors of at least ``least[kind]``
     that any table's visited buckets hold. Copies of one hit from several tables are merged by the caller's top-k or
     ``distinct``: they are equal in all columns.
     """
+    vectors = without_hot_copies(vectors)
     routed = route(vectors, hashing, centres)
     if by_kind:  # a group of its own for each kind
         routed = routed.withColumn("grp", F.col("grp").bitwiseXOR(F.col("kind").cast("bigint")))
@@ -263,7 +267,7 @@ def nearest(vectors: DataFrame, hashing: Hashing, least: dict[int, float], k: in
     if grid:
         cells = vectors.sparkSession.createDataFrame([(t, g, b, q) for (t, g), (b, q) in grid.items()], "tab int, grp bigint, nb int, nq int")
         routed = routed.join(F.broadcast(cells), ["tab", "grp"], "left").fillna(1, ["nb", "nq"])
-        hb, hq = (F.pmod(F.xxhash64("id", F.lit(s)), F.col(n)).cast("int") for s, n in (("b", "nb"), ("q", "nq")))
+        hb, hq = (F.pmod(F.xxhash64("vec", F.lit(s)), F.col(n)).cast("int") for s, n in (("b", "nb"), ("q", "nq")))
         # Stored rows stand in one column of the grid and asking rows in one row of it.
         routed = routed.withColumn("cb", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(hb)))).withColumn(
             "cq", F.explode(F.when(F.col("stored"), F.sequence(F.lit(0), F.col("nq") - 1)).otherwise(F.array(hq)))
@@ -277,6 +281,30 @@ def nearest(vectors: DataFrame, hashing: Hashing, least: dict[int, float], k: in
     return routed.groupBy(*by).applyInArrow(lambda t: compare(t, hashing, least, k, centre, selfless), HITS)
 
 
+def hot_vectors(vectors: DataFrame, share: int = 1000) -> dict[int, int]:
+    """Hash -> smallest id of vectors of which more than one row in ``share`` is a copy; at most ``share`` of them."""
+    n = vectors.count()
+    counts = vectors.groupBy(F.xxhash64("kind", "vec").alias("h")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    return {r.h: r.id for r in counts.filter((F.col("n") > 1) & (F.col("n") * share > n)).collect()}
+
+
+def without_hot_copies(vectors: DataFrame) -> DataFrame:
+    """One row for each hot vector; rarer copies stay, and ``compare`` makes one of them where they meet."""
+    hot = hot_vectors(vectors)
+    if not hot:
+        return vectors
+    table = vectors.sparkSession.createDataFrame(list(hot.items()), "h bigint, first bigint")
+    marked = vectors.withColumn("h", F.xxhash64("kind", "vec")).join(F.broadcast(table), "h", "left")
+    return marked.filter("first is null or first = id").drop("h", "first")
+
+
+def _distinct(x: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of rows with identical vectors the one of the smallest id."""
+    rows = rows[np.argsort(ids[rows], kind="stable")]
+    _, first = np.unique(np.ascontiguousarray(x[rows]).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_index=True)
+    return rows[np.sort(first)]
+
+
 def mean_direction(vectors: DataFrame, dim: int = DIM) -> list[float]:
     """Mean of the unit vectors of a column ``vec``; one row leaves the executors."""
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
