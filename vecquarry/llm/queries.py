@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecquarry.llm import clusters, copies, language, leaks, lookalike, neighbours, overlaps, packing
+from vecquarry.llm import clusters, copies, encodings, language, leaks, lookalike, neighbours, overlaps, packing
 from vecquarry.session import table
 
 
@@ -42,6 +42,19 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(df, "doc_id", "text", cost).withColumnRenamed("id", "doc_id")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    keys = {"documents": "doc_id", "datacomp_pool": "row_id"}
+    return encodings.as_texts({t: (table(spark, d, t, k, "text"), k, "text") for t, k in keys.items()})
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.garbled_rows(_texts(spark, d))
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.garbled_rows(_texts(spark, d), restore=True)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "laion_cache", "row_id", "image_features", "text_features")
     return neighbours.similar_vectors(df).select("direction", "row_id", "nn_row_id")
@@ -96,7 +109,7 @@ def p9_removals(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_collapsed, p2_found, p2_canonical, p3_found, p3_documents, p3_segments, p5_found, p6_found, p6_report, p7_found, p7_described,
+        p1_found, p1_collapsed, p2_found, p2_canonical, p3_found, p3_documents, p3_segments, p4_found, p4_restored, p5_found, p6_found, p6_report, p7_found, p7_described,
         p8_packed, p8_filled, p9_found, p9_removals,
     )
 }
