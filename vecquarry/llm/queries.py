@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecquarry.llm import clusters, copies, encodings, language, leaks, lookalike, neighbours, overlaps, packing
+from vecquarry.llm import clusters, copies, encodings, language, leaks, lookalike, neighbours, overlaps, packing, subjects
 from vecquarry.session import table
 
 
@@ -106,11 +106,23 @@ def p9_removals(spark: SparkSession, d: str) -> DataFrame:
     return leaks.removals(_leaks(spark, d))
 
 
+def _subjects(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, d, "documents", "doc_id", "text", "applicant", "source"), table(spark, d, "subject_labels")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_found(*_subjects(spark, d))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(*_subjects(spark, d), table(spark, d, "subject_areas"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_collapsed, p2_found, p2_canonical, p3_found, p3_documents, p3_segments, p4_found, p4_restored, p5_found, p6_found, p6_report, p7_found, p7_described,
-        p8_packed, p8_filled, p9_found, p9_removals,
+        p8_packed, p8_filled, p9_found, p9_removals, p10_found, p10_composition,
     )
 }
 SQL: dict[str, str] = {}
