@@ -17,14 +17,15 @@ def merged(old: DataFrame | None, new: DataFrame, k: int) -> DataFrame:
     return top_k(both.distinct(), k).select("query_id", "rank", "vec_id", "score")
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The lists of the last finished batch."""
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The lists of the last finished batch, or of the last one before a number."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(fs_path):
         return None
     done = [s.getPath().getName() for s in fs.listStatus(fs_path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
     batches = sorted(int(n.removeprefix("batch=")) for n in done if n.startswith("batch="))
+    batches = [b for b in batches if before is None or b < before]
     return spark.read.parquet(os.path.join(path, f"batch={batches[-1]}")) if batches else None
 
 
@@ -34,6 +35,6 @@ def start(stream: DataFrame, queries: DataFrame, k: int, path: str, checkpoint:
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         hits = exact_topk(queries, batch, k)
-        merged(current(spark, path), hits, k).write.mode("overwrite").parquet(os.path.join(path, f"batch={number}"))
+        merged(current(spark, path, number), hits, k).write.mode("overwrite").parquet(os.path.join(path, f"batch={number}"))
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
