@@ -67,7 +67,7 @@ def search(queries: DataFrame, bank: DataFrame, k: int, iterations: int, itopk:
                 d, j = heapq.heappop(pool)
                 if len(best) >= itopk and d > best[-1][0]:
                     break
-                new = [t for t in (*links[j], *back[j][:degree]) if t not in seen]
+                new = [t for t in dict.fromkeys((*links[j], *back[j][:degree])) if t not in seen]
                 seen.update(new)
                 if new:
                     scores = np.round(x[new] @ v, 9)

@@ -7,14 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("query_id")
+
+def by_query() -> Window:
+    return Window.partitionBy("query_id")
+
 
 
 def listwise_kl(scores: DataFrame, teacher: DataFrame, tau: float = 0.07) -> DataFrame:
     """KL(teacher || student) of the softmax over each pack, mean over queries, times tau squared."""
     s = scores.join(teacher.select("query_id", "vec_id", "p"), ["query_id", "vec_id"])
-    s = s.withColumn("t", F.col("p") / (F.sum("p").over(W) + 1e-12)).withColumn("z", (F.col("score") - F.max("score").over(W)) / tau)
-    s = s.withColumn("logq", F.col("z") - F.log(F.sum(F.exp("z")).over(W)))
+    s = s.withColumn("t", F.col("p") / (F.sum("p").over(by_query()) + 1e-12)).withColumn("z", (F.col("score") - F.max("score").over(by_query())) / tau)
+    s = s.withColumn("logq", F.col("z") - F.log(F.sum(F.exp("z")).over(by_query())))
     term = F.when(F.col("t") > 0, F.col("t") * (F.log("t") - F.col("logq"))).otherwise(0.0)
     per = s.groupBy("query_id").agg(F.sum(term).alias("kl"))
     return per.agg(F.round(F.avg("kl") * tau * tau, 9).alias("loss"))
@@ -22,7 +25,7 @@ def listwise_kl(scores: DataFrame, teacher: DataFrame, tau: float = 0.07) -> Dat
 
 def frontier_gap(scores: DataFrame, k: int, margin: float) -> DataFrame:
     """relu(margin - (s_k - s_{k+1})) over queries with more than k candidates, mean; 0 if there are none."""
-    r = F.row_number().over(W.orderBy(F.desc("score"), "vec_id"))
+    r = F.row_number().over(by_query().orderBy(F.desc("score"), "vec_id"))
     at = scores.withColumn("r", r).filter(F.col("r").isin(k, k + 1)).groupBy("query_id")
     gap = at.agg(F.max(F.when(F.col("r") == k, F.col("score"))).alias("a"), F.max(F.when(F.col("r") == k + 1, F.col("score"))).alias("b")).filter("b is not null")
     return gap.agg(F.round(F.coalesce(F.avg(F.greatest(F.lit(0.0), F.lit(margin) - (F.col("a") - F.col("b")))), F.lit(0.0)), 9).alias("loss"))
@@ -59,7 +62,7 @@ def barycentric_identity(moved: DataFrame, original: DataFrame, exact: DataFrame
         return df.select("query_id", F.posexplode("e").alias("i", name))
 
     def unit(name):
-        return F.col(name) / F.greatest(F.sqrt(F.sum(F.col(name) * F.col(name)).over(W)), F.lit(1e-12))
+        return F.col(name) / F.greatest(F.sqrt(F.sum(F.col(name) * F.col(name)).over(by_query())), F.lit(1e-12))
 
     j = bary.withColumn("b", unit("x")).join(long(original, "t"), ["query_id", "i"]).join(long(moved, "q"), ["query_id", "i"])
     j = j.withColumn("c", (1 - beta) * F.col("t") + beta * F.col("b")).withColumn("c", unit("c"))
@@ -69,8 +72,8 @@ def barycentric_identity(moved: DataFrame, original: DataFrame, exact: DataFrame
 
 def cell_cross_entropy(cell_scores: DataFrame, targets: DataFrame, tau: float = 0.07) -> DataFrame:
     """``cell_scores``: query_id, cell_id, score over all cells; ``targets``: query_id, cell_id, target."""
-    s = cell_scores.withColumn("z", (F.col("score") - F.max("score").over(W)) / tau)
-    s = s.withColumn("logq", F.col("z") - F.log(F.sum(F.exp("z")).over(W)))
+    s = cell_scores.withColumn("z", (F.col("score") - F.max("score").over(by_query())) / tau)
+    s = s.withColumn("logq", F.col("z") - F.log(F.sum(F.exp("z")).over(by_query())))
     per = s.join(targets, ["query_id", "cell_id"]).groupBy("query_id").agg(F.sum(-F.col("target") * F.col("logq")).alias("ce"))
     return per.agg(F.round(F.avg("ce") * tau * tau, 9).alias("loss"))
 
