@@ -5,7 +5,7 @@ white space, punctuation, field order or look-alike characters can change. Only
 the costlier keys: the canonical look-alike form, the folded word sequence, and for lists of named fields the sorted
 ``name=value`` pairs.
 
-Defined results: null texts never count; empty texts form no class of copies under ``min_words`` > 0; identical rows
+Defined results: null texts and rows without a key never count; empty texts form no class of copies under ``min_words`` > 0; identical rows
 are copies; ties go to the smallest id; texts of any length are keyed whole; other columns are left alone.
 """
 
@@ -82,7 +82,7 @@ def normal_forms(df: DataFrame, text: str = "text") -> DataFrame:
 
 def copy_classes(df: DataFrame, key: str = "row_id", text: str = "text", min_words: int = 0) -> DataFrame:
     """One row for each distinct text: ``text, keep_<key>, n_copies`` of its class, and ``n_rows`` of its own copies."""
-    texts = df.filter(F.col(text).isNotNull()).groupBy(text).agg(F.min(key).alias("first"), F.count("*").alias("n_rows"))
+    texts = df.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).groupBy(text).agg(F.min(key).alias("first"), F.count("*").alias("n_rows"))
     inv = texts.select("*", *invariants(F.col(text)))
     inv = inv.withColumn("members", F.count("*").over(Window.partitionBy("inv_len", "inv_hist")))
     several = inv.filter("members > 1").select(text, "first", "n_rows")

@@ -9,7 +9,7 @@ characters and C1 controls are never correct.
 Words are runs of ASCII letters and digits and of any characters above ASCII. Their counts are made per partition before
 the shuffle. Rare but correct characters don't count: a word is affected only if a chain leads to it from common text.
 
-Defined results: null texts never count, empty and ASCII texts hold nothing; a text with several garbled words gives one
+Defined results: null texts and rows without a key never count, empty and ASCII texts hold nothing; a text with several garbled words gives one
 row; lost characters (U+FFFD) are found but stay as they are where no clean word explains them.
 """
 
@@ -272,6 +272,6 @@ def as_texts(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """``name: (df, key, text)`` -> ``tab, row_key, data``."""
     out = None
     for name, (df, key, text) in tables.items():
-        part = df.select(F.lit(name).alias("tab"), F.col(key).alias("row_key"), F.col(text).cast("binary").alias("data"))
+        part = df.filter(F.col(key).isNotNull()).select(F.lit(name).alias("tab"), F.col(key).alias("row_key"), F.col(text).cast("binary").alias("data"))
         out = part if out is None else out.unionByName(part)
     return out

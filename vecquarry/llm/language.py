@@ -8,7 +8,7 @@ Arrow's string buffers. A first model relabels the lines of its own training sam
 The trees are fitted on at most ``sample`` labelled documents (lowest hash of the id); everything else covers all
 documents and whole texts.
 
-Defined results: null and empty texts, and texts without a line of prose, give no rows; a line of fewer than
+Defined results: rows without a key, null and empty texts, and texts without a line of prose, give no rows; a line of fewer than
 ``min_words`` words, a heading, title or formula is not scored; a line whose best language is not clearly better than
 the document's main one counts as the main one; equal code lengths go to the language first in ``LANGS``.
 """
@@ -186,7 +186,7 @@ def segments(df: DataFrame, key: str, text: str, cost: np.ndarray, margin: float
                 names=SEGMENT.names,
             )
 
-    return df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("length(text) > 0").mapInArrow(run, SEGMENT)
+    return df.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")).filter("length(text) > 0").mapInArrow(run, SEGMENT)
 
 
 FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("lang", T.StringType())])
@@ -209,7 +209,7 @@ def wrong_labels(df: DataFrame, cost: np.ndarray, key: str = "doc_id", text: str
             r, c = np.nonzero(sets & ~agrees[:, None])
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(r)), pa.array(np.array(LANGS, object)[c], pa.string())], names=FOUND.names)
 
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"), normal_label(F.col(lang)).alias("label"))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"), normal_label(F.col(lang)).alias("label"))
     return rows.filter("length(text) > 0").mapInArrow(run, FOUND).withColumnRenamed("id", key)
 
 

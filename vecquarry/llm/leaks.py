@@ -7,7 +7,7 @@ all occur in some item enter the automaton, since no match can leave such a run.
 The automaton is broadcast, so the items' words are counted first: items beyond ``block`` words form further automata,
 each run over the documents in turn.
 
-Defined results: null and empty texts and items of fewer than ``least`` words never match; a document that has a
+Defined results: rows without a key, null and empty texts, and items of fewer than ``least`` words never match; a document that has a
 passage several times gives one row for each item; documents are streamed whole, whatever their length.
 """
 
@@ -160,14 +160,14 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     the document that lie in shared passages of at least ``least`` words, and all its words."""
     folding = Folding()
     blocks, size = [[]], 0
-    for r in items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).filter("t is not null").orderBy("i").toLocalIterator():
+    for r in items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).filter("t is not null and i is not null").orderBy("i").toLocalIterator():
         words = folding.words(r.t)
         if size + len(words) > block and blocks[-1]:
             blocks.append([])
             size = 0
         blocks[-1].append((r.i, words))
         size += len(words)
-    rows = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).filter("length(text) > 0")
+    rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text")).filter("length(text) > 0")
     out = None
     for part in blocks:
         automaton = docs.sparkSession.sparkContext.broadcast(Automaton(part, least))

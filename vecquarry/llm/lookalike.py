@@ -6,7 +6,7 @@ characters) replaces each code point, combining marks are ordered by class, reco
 
 The mapping table comes from the Unicode rules below, so its size is bounded by Unicode and not by the data.
 
-Defined results: a null text stays null; an empty text stays empty; ASCII text is returned unchanged; a text of any
+Defined results: a null text stays null; a row without a key is in no pair; an empty text stays empty; ASCII text is returned unchanged; a text of any
 length is processed whole; ZERO WIDTH JOINER stays between pictographs, where it changes what is shown.
 """
 
@@ -151,6 +151,7 @@ def lookalike_pairs(df: DataFrame, key: str = "row_id", text: str = "text", min_
     Rows are joined on the canonical form, and only forms that more than one string has enter the join, so a group of
     identical copies alone costs one aggregated row. Ties and repeated rows give one pair for each two rows.
     """
+    df = df.filter(F.col(key).isNotNull())
     texts = canonical_texts(df, text).filter(word_count(F.col("canon")) >= min_words)
     several = texts.groupBy("canon").agg(F.count("*").alias("n")).filter("n > 1").select("canon")
     texts = texts.join(several, "canon")

@@ -3,7 +3,7 @@
 Identical vectors are searched once: hot ones are dropped before the shuffle and others where they meet in a group, and
 only the smallest ids that a top-k could need are listed again at the end.
 
-Defined results: invalid vectors (null, short, not finite, all zero) neither ask nor answer; equal cosines, rounded to
+Defined results: rows without a key and invalid vectors (null, short, not finite, all zero) neither ask nor answer; equal cosines, rounded to
 12 decimals, go to the smaller id; a row without a neighbour above the threshold gives no row; an empty table gives
 none. Candidate search is approximate: the tests measure its recall against brute force.
 """
@@ -21,7 +21,7 @@ II, TI = 0, 1
 
 def members(df: DataFrame, key: str, vec: str, *by: str) -> DataFrame:
     """``member, id``: every row with a valid vector, and the smallest id of the identical ones (of the same ``by``)."""
-    rows = df.filter(valid(F.col(vec))).select(F.col(key).alias("member"), *by, F.xxhash64(vec).alias("h1"), F.hash(vec).alias("h2"))
+    rows = df.filter(valid(F.col(vec)) & F.col(key).isNotNull()).select(F.col(key).alias("member"), *by, F.xxhash64(vec).alias("h1"), F.hash(vec).alias("h2"))
     reps = rows.groupBy("h1", "h2", *by).agg(F.min("member").alias("id"))
     return rows.join(reps, ["h1", "h2", *by]).select("member", "id", *by)
 
@@ -29,6 +29,7 @@ def members(df: DataFrame, key: str, vec: str, *by: str) -> DataFrame:
 def similar_vectors(df: DataFrame, key: str = "row_id", image: str = "image_features", text: str = "text_features", k: int = 5,
                     least_ii: float = 0.90, least_ti: float = 0.705, hashing: Hashing | None = None) -> DataFrame:
     """``direction, <key>, nn_<key>, cos``: the k nearest images of each image and of each text vector."""
+    df = df.filter(F.col(key).isNotNull())
     images, texts = (df.filter(valid(F.col(c))).select(F.col(key).alias("id"), F.col(c).alias("vec")) for c in (image, text))
     img_members, txt_members = members(df, key, image), members(df, key, text)
     n = img_members.count()

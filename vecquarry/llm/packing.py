@@ -7,7 +7,7 @@ packs with the most free space among those it fits. The plan, a list of patterns
 pieces by their rank among pieces of the same length; ranks come from counts per length and salt, so a length that a
 third of all pieces have is ranked by many tasks.
 
-Defined results: null and empty texts have no tokens and are left out; ties of length are ranked by id; an empty table
+Defined results: rows without a key are left out; null and empty texts have no tokens and are left out; ties of length are ranked by id; an empty table
 gives an empty plan; extra columns are dropped.
 """
 
@@ -87,7 +87,7 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
             n = [count(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int32())], names=SIZE.names)
 
-    return df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("length(text) > 0").mapInArrow(run, SIZE)
+    return df.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")).filter("length(text) > 0").mapInArrow(run, SIZE)
 
 
 def pieces(sizes: DataFrame, capacity: int) -> DataFrame:

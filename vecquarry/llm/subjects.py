@@ -7,7 +7,7 @@ subject dominates, so a few wrong labels or rare words don't matter. An EM over
 often each function is right, without labels; documents get the subjects whose posterior is at least one half and for
 which the deciding section has evidence, because passing mentions elsewhere don't count.
 
-Defined results: null and empty texts, and texts without a lexicon word in the deciding section, give no rows; equal
+Defined results: rows without a key, null and empty texts, and texts without a lexicon word in the deciding section, give no rows; equal
 evidence gives several subjects; ties in a word's counts go to the subject first in the alphabet.
 """
 
@@ -174,8 +174,8 @@ def assign(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame
 
     ``docs``: key, text, applicant, source; ``labels``: key, subject.
     """
-    docs = docs.select(F.col(key).alias("id"), "text", "applicant", "source").filter("length(text) > 0")
-    lexicon = learn_lexicon(docs.select("id", "text"), labels.select(F.col(key).alias("id"), "subject"))
+    docs = docs.select(F.col(key).alias("id"), "text", "applicant", "source").filter("id is not null and length(text) > 0")
+    lexicon = learn_lexicon(docs.select("id", "text"), labels.select(F.col(key).alias("id"), "subject").dropna())
     votes = cut(text_votes(docs, lexicon))
     for column in ("applicant", "source"):
         votes = votes.join(key_votes(votes, docs, column), ["id", "subject"], "left").fillna(0, [column])
