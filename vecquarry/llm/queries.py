@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecquarry.llm import clusters, copies, encodings, language, leaks, lookalike, neighbours, overlaps, packing, subjects
+from vecquarry.llm import clusters, copies, encodings, language, leaks, lookalike, neighbours, overlaps, packing, sql, subjects
 from vecquarry.session import table
 
 
@@ -125,4 +125,5 @@ QUERIES = {
         p8_packed, p8_filled, p9_found, p9_removals, p10_found, p10_composition,
     )
 }
-SQL: dict[str, str] = {}
+# The other queries have no twin: their searches are approximate, learned, or too slow as SQL on whole tables.
+SQL: dict[str, str] = {"p1_found": sql.COPIES, "p2_found": sql.LOOKALIKE_PAIRS, "p9_found": sql.LEAKS}
