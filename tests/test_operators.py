@@ -142,3 +142,25 @@ def test_text_and_settings(spark):
     assert heuristics.resolve_path({"default": "d"}, "x") == "d" and heuristics.resolve_path("p", "x") == "p"
     with pytest.raises(ValueError):
         heuristics.resolve_path({}, "x")
+
+
+def test_evaluation(spark, data):
+    from vecquarry.operators import evaluate
+
+    _, _, b, qs = data
+    r = evaluate.evaluate(b, {"baseline": qs}, ["ivf", "exact"], [2, 8], [5], cells=8).collect()
+    got = {(x.backend, x.budget): x.recall for x in r}
+    assert got["exact", 2] == 1.0 and got["ivf", 8] == 1.0 and got["ivf", 2] <= 1.0 and all(x.qps > 0 for x in r)
+    assert evaluate.budget_gain(spark.createDataFrame(r)).count() == 0
+    with pytest.raises(ValueError):
+        evaluate.evaluate(b, {"baseline": qs}, ["nothing"], [1], [1])
+
+
+def test_synthetic(spark):
+    from vecquarry.sources import synthetic
+
+    b, q = synthetic.smoke_set(spark, 600, 24)
+    x = np.array([r.e for r in b.orderBy("vec_id").collect()])
+    assert x.shape == (600, 24) and q.count() == 12 and np.allclose(np.linalg.norm(x, axis=1), 1, atol=1e-6)
+    assert abs((x @ x.T - np.eye(600)).mean()) < 0.01
+    assert np.allclose(x, np.array([r.e for r in synthetic.vectors(spark, 600, 24).repartition(3).orderBy("vec_id").collect()]))

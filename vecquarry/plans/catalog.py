@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vecquarry.functions import heuristics as H
 from vecquarry.functions import text as TX
 from vecquarry.functions import vec as V
-from vecquarry.operators import cluster, dist, graph, ivf, knn, loss, metrics, model, pca, select, series, splits, teacher
+from vecquarry.operators import cluster, dist, evaluate, graph, ivf, knn, loss, metrics, model, pca, select, series, splits, teacher
 from vecquarry.session import table
 
 K, CELLS, DIM = 10, 16, 64
@@ -824,3 +824,25 @@ def union_banks(spark, d):
     df = table(spark, d, "embeddings", "vec_id")
     u = splits.union_banks(df, df, "vec_id")
     return u.select(F.col("vec_id").alias("new_id"), "vec_id")
+
+
+# ---------------------------------------------------------------- end to end
+
+
+@query()
+def evaluation_sweep(spark, d):
+    b = bank(spark, d)
+    r = evaluate.evaluate(b, {"baseline": asked(b), "proj_ep1": moved(b)}, ["ivf", "graph"], [2, 8], [1, 10], cells=8)
+    return r.select("backend", "variant", "budget", "at_k", "recall")
+
+
+@query(f"WITH {N}, {Q}, {hits_sql('x', 'q').replace('JOIN n ON n.vec_id <> q.query_id', ', n')} SELECT query_id, rank, vec_id, score, label FROM x JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id)")
+def batch_retrieval(spark, d):
+    b = bank(spark, d)
+    return evaluate.batch_retrieval(asked(b), b, table(spark, d, "embeddings", "vec_id", "label"), K, 8, 8)
+
+
+@query()
+def em_refresh(spark, d):
+    b = bank(spark, d)
+    return evaluate.em_refresh(asked(b), b, model.initial(DIM, 128), K, pca.fit(b, 32)[0])
