@@ -22,8 +22,9 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column, eps: float = EPS) -> Column:
-    n = norm(v) + F.lit(eps)
-    return F.transform(as_double(v), lambda x: x / n)
+    # As an array the norm is computed once; within a lambda it would be computed again for each element.
+    n = F.array_repeat(norm(v) + F.lit(eps), F.size(v))
+    return F.zip_with(as_double(v), n, lambda x, y: x / y)
 
 
 def l2_distance(a: Column, b: Column) -> Column:
