@@ -73,6 +73,17 @@ def test_clusters(spark):
     assert clusters.clusters_found({"a": (df.limit(0), "row_id", "v")}).count() == 0
 
 
+def test_clumps_of_near_copies_join(spark):
+    """Two clumps of 20 near copies, all 6 best links of each inside, at a cosine of 0.93 from each other."""
+    rng = np.random.default_rng(11)
+    c, o = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    far = 0.93 * c + np.sqrt(1 - 0.93**2) * o
+    img = [v + 0.001 * rng.standard_normal(64) for v in (c, far) for _ in range(20)] + list(rng.standard_normal((60, 64)))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(img)], "row_id bigint, v array<float>")
+    got = {(r.first_row_id, r.row_id) for r in clusters.clusters_found({"a": (df, "row_id", "v")}).collect()}
+    assert got == {(0, i) for i in range(40)}
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (200, 200)]

@@ -25,14 +25,14 @@ from vecquarry.session import cut
 LINKS = T.StructType([T.StructField("id", T.LongType()), T.StructField("nn", T.LongType()), T.StructField("cos", T.DoubleType())])
 
 
-def _best(links: DataFrame, k: int) -> DataFrame:
+def _ranked(links: DataFrame) -> DataFrame:
     w = Window.partitionBy("id").orderBy(F.desc("cos"), "nn")
-    return links.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+    return links.withColumn("r", F.row_number().over(w))
 
 
-def descend(links: DataFrame, vectors: DataFrame, k: int, least: float, sent: int = 2, meets: int = 6) -> DataFrame:
+def descend(links: DataFrame, vectors: DataFrame, least: float, sent: int = 2, meets: int = 6) -> DataFrame:
     """One round of neighbour descent: each vector goes to its ``sent`` best neighbours, where it meets the others sent
-    there (each the next ``meets`` in the order of ids); pairs of at least ``least`` enter the lists of the k best."""
+    there (each the next ``meets`` in the order of ids); pairs of at least ``least`` enter the lists."""
     to = links.filter(F.col("r") <= sent).select("id", F.col("nn").alias("at"))
     here = to.join(vectors, "id").repartition("at").sortWithinPartitions("at", "id").select("at", "id", "vec")
 
@@ -57,18 +57,21 @@ def descend(links: DataFrame, vectors: DataFrame, k: int, least: float, sent: in
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, b]), pa.array(np.r_[b, a]), pa.array(np.r_[cos, cos])], names=LINKS.names)
 
     found = here.mapInArrow(run, LINKS)
-    return _best(links.select("id", "nn", "cos").unionByName(found).filter("id != nn").distinct(), k)
+    return _ranked(links.select("id", "nn", "cos").unionByName(found).filter("id != nn").distinct())
 
 
 def neighbour_graph(vectors: DataFrame, n: int, k: int = 6, least: float = 0.90, rounds: int = 1) -> DataFrame:
-    """``a, b, w`` (a < b): undirected links of at least ``least`` among ``kind, id, vec``; only vectors of one kind meet."""
+    """``a, b, w, near`` (a < b): undirected links of at least ``least`` among ``kind, id, vec``; only vectors of one kind
+    meet. ``near`` are the links to the k best of either end. The others are kept because they join what those leave
+    apart: a clump of more than k near copies has all its k best inside."""
     flag = F.lit(True)
     asked = vectors.select("kind", "id", flag.alias("stored"), flag.alias("asks"), "vec")
-    found = nearest(asked, Hashing.sized(n, tables=3, reach=0.45, route_reach=0.0), {0: least, 1: least}, k, selfless=True, by_kind=True)
-    links = cut(_best(found.select("id", "nn", "cos").distinct(), k))
+    found = nearest(asked, Hashing.sized(n, tables=3, reach=0.45, route_reach=0.0), {0: least, 1: least}, k, selfless=True, by_kind=True, joined=True)
+    links = cut(_ranked(found.select("id", "nn", "cos").distinct()))
     for _ in range(rounds):
-        links = descend(links, vectors.select("id", "vec"), k, least)
-    return links.select(F.least("id", "nn").alias("a"), F.greatest("id", "nn").alias("b"), F.col("cos").alias("w")).distinct()
+        links = descend(links, vectors.select("id", "vec"), least)
+    ends = links.select(F.least("id", "nn").alias("a"), F.greatest("id", "nn").alias("b"), F.col("cos").alias("w"), (F.col("r") <= k).alias("near"))
+    return ends.groupBy("a", "b").agg(F.max("w").alias("w"), F.max("near").alias("near"))
 
 
 def communities(links: DataFrame, rounds: int = 3) -> DataFrame:
@@ -120,12 +123,13 @@ def clusters(tables: dict[str, tuple[DataFrame, str, str]], least: float = 0.90,
         m = members(df, key, vec).select(F.lit(i).alias("kind"), F.col("member").alias("row"), (F.col("id") * 2 + i).alias("id"))
         nodes, rows = (v, m) if nodes is None else (nodes.unionByName(v), rows.unionByName(m))
     links = cut(neighbour_graph(nodes, rows.count(), k, least))
-    com = communities(links)
+    near = links.filter("near").drop("near")
+    com = communities(near)
     ends = links.join(com.select(F.col("id").alias("a"), F.col("com").alias("ca")), "a").join(com.select(F.col("id").alias("b"), F.col("com").alias("cb")), "b")
     between = ends.filter("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "w")
     root = components(between.filter(F.col("w") >= least).select("a", "b").distinct())
     named = com.join(root.withColumnRenamed("id", "com"), "com", "left").select("id", F.coalesce("root", "com").alias("cluster"))
-    degree = links.select(F.col("a").alias("id"), "w").unionByName(links.select(F.col("b").alias("id"), "w")).groupBy("id").agg(F.round(F.sum("w"), 6).alias("degree"))
+    degree = near.select(F.col("a").alias("id"), "w").unionByName(near.select(F.col("b").alias("id"), "w")).groupBy("id").agg(F.round(F.sum("w"), 6).alias("degree"))
     named = named.join(degree, "id")
     full = rows.join(named, "id", "left").select("kind", "row", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("degree", F.lit(0.0)).alias("degree"))
     per = full.groupBy("cluster").agg(F.min("row").alias("first"), F.count("*").alias("size"))

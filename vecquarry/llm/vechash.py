@@ -174,6 +174,15 @@ def _best(q: np.ndarray, cos: np.ndarray, tie: np.ndarray, k: int) -> np.ndarray
     return order[rank < k]
 
 
+def _exact(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows of x in double precision, rounded."""
+    out = np.empty(len(a))
+    for at in range(0, len(a), 20_000):
+        part = slice(at, at + 20_000)
+        out[part] = np.einsum("ij,ij->i", unit(x[a[part]]), unit(x[b[part]]))
+    return np.round(out, 12)
+
+
 def _bucket_hits(s: np.ndarray, least: np.ndarray, k: int):
     """Row and column of entries of at least the row's threshold, the k best of a row if it has more than 4 k."""
     over = s >= least[:, None]
@@ -187,8 +196,35 @@ def _bucket_hits(s: np.ndarray, least: np.ndarray, k: int):
     return r, c
 
 
-def compare(table: pa.Table, hashing: Hashing, least: dict[int, float], k: int, centres: dict[int, np.ndarray], selfless: bool = False) -> pa.Table:
-    """The k most similar stored vectors in visited buckets for each asking vector of one group."""
+class Forest:
+    """Links kept of all that are met: vectors joined by any chain of links are joined by kept ones, at most one a vector."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def root(self, at: np.ndarray) -> np.ndarray:
+        out = self.parent[at]
+        while (up := self.parent[out]).size and (up != out).any():
+            out = up
+        self.parent[at] = out
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            ra, rb = self.root(a), self.root(b)
+            on = ra != rb
+            a, b, low, high = a[on], b[on], np.minimum(ra, rb)[on], np.maximum(ra, rb)[on]
+            # Each tree hangs itself below the lowest one that it meets, so no circle arises.
+            order = np.lexsort((low, high))
+            pick = order[np.r_[True, high[order][1:] != high[order][:-1]]] if len(order) else order
+            self.parent[high[pick]] = low[pick]
+            self.kept.append((a[pick], b[pick]))
+
+
+def compare(table: pa.Table, hashing: Hashing, least: dict[int, float], k: int, centres: dict[int, np.ndarray], selfless: bool = False, joined: bool = False) -> pa.Table:
+    """The k most similar stored vectors in visited buckets for each asking vector of one group. With ``joined`` also, both
+    ways, a spanning forest of all pairs of at least the threshold in visited buckets, however many a vector has."""
     none = pa.Table.from_arrays([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.float64())], names=HITS.names)
     x, kind, ids = matrix(table.column("vec"), hashing.dim), np.asarray(table.column("kind")), np.asarray(table.column("id"))
     stored, asks = (np.asarray(table.column(c).cast(pa.int8())).astype(bool) for c in ("stored", "asks"))
@@ -220,12 +256,22 @@ def compare(table: pa.Table, hashing: Hashing, least: dict[int, float], k: int,
     thr = np.array([least[int(v)] for v in kind[q_at]], np.float32) - np.float32(2e-6)
     spare = k + 8
     hq, hb, hs = [], [], []
+    forest = Forest(len(x)) if joined else None
     for j in range(len(keys)):
         qs, cand = asked_q[bounds[j] : bounds[j + 1]], bank[starts[j] : ends[j]]
         step = max(1, 4_000_000 // len(cand))
         for at in range(0, len(qs), step):
             part = qs[at : at + step]
             s = u32[q_at[part]] @ cand.T
+            if forest is not None:
+                r, col = np.nonzero(s >= thr[part][:, None])
+                a, b = q_at[part[r]], b_at[starts[j] + col]
+                on = np.flatnonzero(forest.root(q_at[part])[r] != forest.root(b_at[starts[j] : ends[j]])[col])
+                a, b, sure = a[on], b[on], s[r[on], col[on]] >= thr[part[r[on]]] + np.float32(4e-6)
+                if not sure.all():
+                    at_line = np.flatnonzero(~sure)
+                    sure[at_line] = _exact(x, a[at_line], b[at_line]) >= np.array([least[int(v)] for v in kind[a[at_line]]])
+                forest.add(a[sure], b[sure])
             r, col = _bucket_hits(s, thr[part], spare)
             if len(r):
                 hq.append(part[r])
@@ -239,22 +285,22 @@ def compare(table: pa.Table, hashing: Hashing, least: dict[int, float], k: int,
         hq, hb, hs = hq[keep], hb[keep], hs[keep]
     keep = _best(hq, hs, ids[b_at[hb]], spare)
     hq, hb = q_at[hq[keep]], b_at[hb[keep]]
-    exact = np.empty(len(hq))
-    for at in range(0, len(hq), 20_000):
-        part = slice(at, at + 20_000)
-        exact[part] = np.einsum("ij,ij->i", unit(x[hq[part]]), unit(x[hb[part]]))
-    exact = np.round(exact, 12)
+    exact = _exact(x, hq, hb)
     keep = exact >= np.array([least[int(v)] for v in kind[hq]])
     hq, hb, exact = hq[keep], hb[keep], exact[keep]
     keep = _best(hq, exact, ids[hb], k)
     hq, hb, exact = hq[keep], hb[keep], exact[keep]
+    if forest is not None and forest.kept:
+        a, b = (np.concatenate(v) for v in zip(*forest.kept, strict=True))
+        cos = _exact(x, a, b)
+        hq, hb, exact = np.r_[hq, a, b], np.r_[hb, b, a], np.r_[exact, cos, cos]
     return pa.Table.from_arrays([pa.array(kind[hq].astype(np.int32)), pa.array(ids[hq]), pa.array(ids[hb]), pa.array(exact)], names=HITS.names)
 
 
-def nearest(vectors: DataFrame, hashing: Hashing, least: dict[int, float], k: int, centres: dict[int, list[float]] | None = None, selfless: bool = False, by_kind: bool = False) -> DataFrame:
+def nearest(vectors: DataFrame, hashing: Hashing, least: dict[int, float], k: int, centres: dict[int, list[float]] | None = None, selfless: bool = False, by_kind: bool = False, joined: bool = False) -> DataFrame:
     """``kind, id, nn, cos``: identical vectors are one, named by their smallest id. For each asking vector its up to ``k`` nearest stored vectors of at least ``least[kind]``
     that any table's visited buckets hold. Copies of one hit from several tables are merged by the caller's top-k or
-    ``distinct``: they are equal in all columns.
+    ``distinct``: they are equal in all columns. ``joined`` as in ``compare``.
     """
     vectors = without_hot_copies(vectors)
     routed = route(vectors, hashing, centres)
@@ -278,7 +324,7 @@ def nearest(vectors: DataFrame, hashing: Hashing, least: dict[int, float], k: in
     else:
         by = ["tab", "grp"]
     centre = {key: np.asarray(v, np.float64) for key, v in (centres or {}).items()}
-    return routed.groupBy(*by).applyInArrow(lambda t: compare(t, hashing, least, k, centre, selfless), HITS)
+    return routed.groupBy(*by).applyInArrow(lambda t: compare(t, hashing, least, k, centre, selfless, joined), HITS)
 
 
 def hot_vectors(vectors: DataFrame, share: int = 1000) -> dict[int, int]:
