@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecquarry.llm import clusters, neighbours, overlaps
-from vecquarry.llm.vechash import Hashing
+from vecquarry.llm.vechash import Hashing, _code, _probes
 
 BROKEN = [None, [1.0] * 10, [float("nan")] * 64, [0.0] * 64, [float("inf")] + [1.0] * 63]
 
@@ -84,6 +84,32 @@ def test_clumps_of_near_copies_join(spark):
     assert got == {(0, i) for i in range(40)}
 
 
+def met(hashing, cos, both, pairs=3000):
+    """Share of pairs of a cosine that some table brings together, asked from one end or from both."""
+    rng = np.random.default_rng(4)
+    a = unit(rng.standard_normal((pairs, 64)))
+    o = rng.standard_normal((pairs, 64))
+    o = unit(o - (o * a).sum(1, keepdims=True) * a)
+    ends = [v.astype(np.float32) for v in (a, cos * a + np.sqrt(1 - cos**2) * o)]
+    found, c = np.zeros(pairs, bool), hashing.coarse
+    for t in range(hashing.tables):
+        for x, y in (ends, ends[::-1]) if both else (ends,):
+            (h, low), (g, _) = hashing.cells(x, t), hashing.cells(y, t)
+            hit = np.ones(pairs, bool)
+            for part, reach in ((slice(0, c), hashing.route_reach), (slice(c, None), hashing.reach)):
+                seen, want = np.zeros(pairs, bool), _code(g[:, part])
+                for rows, code in _probes(h[:, part], low[:, part], hashing.width, reach):
+                    seen[rows] |= code == want[rows]
+                hit &= seen
+            found |= hit
+    return found.mean()
+
+
+def test_cluster_links_met_at_any_size():
+    small = met(clusters.hashing(320_000), 0.96, True)
+    assert all(met(clusters.hashing(n), 0.96, True) > small - 0.02 for n in (3_000_000, 48_000_000))
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (200, 200)]

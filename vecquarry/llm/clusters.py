@@ -60,13 +60,18 @@ def descend(links: DataFrame, vectors: DataFrame, least: float, sent: int = 2, m
     return _ranked(links.select("id", "nn", "cos").unionByName(found).filter("id != nn").distinct())
 
 
+def hashing(n: int) -> Hashing:
+    """More tables for more rows keep the share of near pairs that meet: no table probes a second group."""
+    return Hashing.sized(n, tables=3, grow=0.75, reach=0.45, route_reach=0.0)
+
+
 def neighbour_graph(vectors: DataFrame, n: int, k: int = 6, least: float = 0.90, rounds: int = 1) -> DataFrame:
     """``a, b, w, near`` (a < b): undirected links of at least ``least`` among ``kind, id, vec``; only vectors of one kind
     meet. ``near`` are the links to the k best of either end. The others are kept because they join what those leave
     apart: a clump of more than k near copies has all its k best inside."""
     flag = F.lit(True)
     asked = vectors.select("kind", "id", flag.alias("stored"), flag.alias("asks"), "vec")
-    found = nearest(asked, Hashing.sized(n, tables=3, reach=0.45, route_reach=0.0), {0: least, 1: least}, k, selfless=True, by_kind=True, joined=True)
+    found = nearest(asked, hashing(n), {0: least, 1: least}, k, selfless=True, by_kind=True, joined=True)
     links = cut(_ranked(found.select("id", "nn", "cos").distinct()))
     for _ in range(rounds):
         links = descend(links, vectors.select("id", "vec"), least)

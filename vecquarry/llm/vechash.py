@@ -49,10 +49,11 @@ class Hashing:
     seed: int = 20
 
     @staticmethod
-    def sized(n: int, group: int = 32_000, bucket: int = 600, **more) -> Hashing:
+    def sized(n: int, group: int = 32_000, bucket: int = 600, tables: int = 2, grow: float = 0.0, **more) -> Hashing:
+        """``grow``: tables added for each coarse function beyond four, since each parts some near pairs."""
         coarse = max(3, round(math.log(max(n, 1) / group) / -math.log(P_FAR)))
         fine = max(1, round(math.log(max(min(n, group), 1) / bucket) / -math.log(P_FAR)) + 1)
-        return Hashing(coarse=coarse, fine=fine, **more)
+        return Hashing(coarse=coarse, fine=fine, tables=tables + math.ceil(grow * max(0, coarse - 4)), **more)
 
     def functions(self, table: int) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng([self.seed, table])
