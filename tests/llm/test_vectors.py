@@ -110,6 +110,11 @@ def test_cluster_links_met_at_any_size():
     assert all(met(clusters.hashing(n), 0.96, True) > small - 0.02 for n in (3_000_000, 48_000_000))
 
 
+def test_neighbours_met_at_any_size():
+    small = met(neighbours.hashing_for(200_000), 0.93, False)
+    assert all(met(neighbours.hashing_for(n), 0.93, False) > small - 0.03 for n in (500_000, 3_000_000, 48_000_000))
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (200, 200)]

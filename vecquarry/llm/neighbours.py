@@ -26,6 +26,13 @@ def members(df: DataFrame, key: str, vec: str, *by: str) -> DataFrame:
     return rows.join(reps, ["h1", "h2", *by]).select("member", "id", *by)
 
 
+def hashing_for(n: int) -> Hashing:
+    """Beyond four coarse functions each more parts some near pairs, and tables that keep recall write fewer copies of the
+    vectors than probed groups."""
+    small = Hashing.sized(n)
+    return small if small.coarse <= 4 else Hashing.sized(n, tables=4, grow=1.0, route_reach=0.0)
+
+
 def similar_vectors(df: DataFrame, key: str = "row_id", image: str = "image_features", text: str = "text_features", k: int = 5,
                     least_ii: float = 0.90, least_ti: float = 0.705, hashing: Hashing | None = None) -> DataFrame:
     """``direction, <key>, nn_<key>, cos``: the k nearest images of each image and of each text vector."""
@@ -33,7 +40,7 @@ def similar_vectors(df: DataFrame, key: str = "row_id", image: str = "image_feat
     images, texts = (df.filter(valid(F.col(c))).select(F.col(key).alias("id"), F.col(c).alias("vec")) for c in (image, text))
     img_members, txt_members = members(df, key, image), members(df, key, text)
     n = img_members.count()
-    hashing = hashing or Hashing.sized(n)
+    hashing = hashing or hashing_for(n)
     flag = F.lit(True)
     asked = images.select(F.lit(II).alias("kind"), "id", flag.alias("stored"), flag.alias("asks"), "vec").unionByName(
         texts.select(F.lit(TI).alias("kind"), "id", F.lit(False).alias("stored"), flag.alias("asks"), "vec")
