@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecquarry.llm import clusters, neighbours, overlaps
-from vecquarry.llm.vechash import Hashing, _code, _probes
+from vecquarry.llm.vechash import Hashing, _code, _probes, nearest
 
 BROKEN = [None, [1.0] * 10, [float("nan")] * 64, [0.0] * 64, [float("inf")] + [1.0] * 63]
 
@@ -115,6 +115,14 @@ def test_neighbours_met_at_any_size():
     assert all(met(neighbours.hashing_for(n), 0.93, False) > small - 0.03 for n in (500_000, 3_000_000, 48_000_000))
 
 
+@pytest.mark.parametrize("block", [50_000, 40])
+def test_kinds_never_meet(spark, block):
+    v = np.random.default_rng(9).standard_normal((300, 64))
+    df = spark.createDataFrame([(i % 2, i, True, True, [float(x) for x in v[i]]) for i in range(300)], "kind int, id bigint, stored boolean, asks boolean, vec array<float>")
+    got = nearest(df, Hashing(coarse=1, fine=1, tables=1, block=block), {0: -1.0, 1: -1.0}, 300, selfless=True, by_kind=True).collect()
+    assert len(got) > 10_000 and all(r.id % 2 == r.nn % 2 for r in got)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (200, 200)]

@@ -305,15 +305,14 @@ def nearest(vectors: DataFrame, hashing: Hashing, least: dict[int, float], k: in
     """
     vectors = without_hot_copies(vectors)
     routed = route(vectors, hashing, centres)
-    if by_kind:  # a group of its own for each kind
-        routed = routed.withColumn("grp", F.col("grp").bitwiseXOR(F.col("kind").cast("bigint")))
-    sizes = routed.groupBy("tab", "grp").agg(F.sum(F.col("stored").cast("int")).alias("n_stored"), F.sum(F.col("asks").cast("int")).alias("n_asks"))
+    by = ["tab", "grp", *(["kind"] if by_kind else [])]  # with by_kind, a group of its own for each kind
+    sizes = routed.groupBy(*by).agg(F.sum(F.col("stored").cast("int")).alias("n_stored"), F.sum(F.col("asks").cast("int")).alias("n_asks"))
     hot = sizes.filter((F.col("n_stored") > hashing.block) | (F.col("n_asks") > 4 * hashing.block))
     # A grid over the few groups that are too large; the list has at most (rows / block) entries.
-    grid = {(r.tab, r.grp): (max(1, -(-r.n_stored // hashing.block)), max(1, -(-r.n_asks // (4 * hashing.block)))) for r in hot.collect()}
+    grid = {tuple(r[c] for c in by): (max(1, -(-r.n_stored // hashing.block)), max(1, -(-r.n_asks // (4 * hashing.block)))) for r in hot.collect()}
     if grid:
-        cells = vectors.sparkSession.createDataFrame([(t, g, b, q) for (t, g), (b, q) in grid.items()], "tab int, grp bigint, nb int, nq int")
-        routed = routed.join(F.broadcast(cells), ["tab", "grp"], "left").fillna(1, ["nb", "nq"])
+        cells = vectors.sparkSession.createDataFrame([(*g, *n) for g, n in grid.items()], "tab int, grp bigint, " + ("kind int, " if by_kind else "") + "nb int, nq int")
+        routed = routed.join(F.broadcast(cells), by, "left").fillna(1, ["nb", "nq"])
         hb, hq = (F.pmod(F.xxhash64("vec", F.lit(s)), F.col(n)).cast("int") for s, n in (("b", "nb"), ("q", "nq")))
         # Stored rows stand in one column of the grid and asking rows in one row of it.
         routed = routed.withColumn("cb", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(hb)))).withColumn(
@@ -321,9 +320,7 @@ def nearest(vectors: DataFrame, hashing: Hashing, least: dict[int, float], k: in
         )
         routed = routed.withColumn("stored", F.col("stored") & (F.col("cb") == hb)).withColumn("asks", F.col("asks") & (F.col("cq") == hq))
         routed = routed.filter("stored or asks").select(*ROUTED.names, "cb", "cq")
-        by = ["tab", "grp", "cb", "cq"]
-    else:
-        by = ["tab", "grp"]
+        by = [*by, "cb", "cq"]
     centre = {key: np.asarray(v, np.float64) for key, v in (centres or {}).items()}
     return routed.groupBy(*by).applyInArrow(lambda t: compare(t, hashing, least, k, centre, selfless, joined), HITS)
 
