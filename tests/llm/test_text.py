@@ -179,6 +179,15 @@ def test_packing(spark):
 # ---------------------------------------------------------------- 9
 
 
+@pytest.mark.parametrize("copied", [True, False])
+def test_garbled_majority(spark, copied):
+    """More rows, or more different texts, with the garbled word than with the correct one."""
+    bad = "DESCRIPCIÓN".encode("cp1252").decode("cp437")
+    rows = [(i, f"DESCRIPCIÓN {i}") for i in range(20)] + [(100 + i, f"{bad} {0 if copied else i}") for i in range(60)]
+    t = encodings.as_texts({"t": (spark.createDataFrame(rows, "row_id bigint, text string"), "row_id", "text")})
+    assert {r.row_key for r in encodings.garbled_rows(t).collect()} == set(range(100, 160))
+
+
 def test_leaks(spark):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(30)]

@@ -1,8 +1,9 @@
 """Garbled text from wrong decoding (problem 4).
 
 Every distinct clean word of the corpus is put through all encoding chains, and the words of the corpus are hash-joined
-with the forms that come out: a word that is the garbled form of a more frequent clean word is affected, and that word
-is its original. Names that never occur clean are covered by the same table for one-character words: the garbled
+with the forms that come out: a word that is the garbled form of a clean word is affected, and that word is its original,
+if the word has more characters that no word has (``odd``), or as many and stands in fewer texts (copies
+count once; rows decide between equals). Names that never occur clean are covered by the same table for one-character words: the garbled
 sequences of the corpus's common characters, looked up within a word and verified by the inverse chain. Replacement
 characters and C1 controls are never correct.
 
@@ -16,6 +17,7 @@ row; lost characters (U+FFFD) are found but stay as they are where no clean word
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -127,6 +129,25 @@ class Judge:
         return None
 
 
+#: Lost and control characters, private use, mathematical and technical signs, boxes and blocks.
+_SIGNS = re.compile("[\x80-\x9f\u2200-\u25ff\ue000-\uf8ff\ufffd]")
+
+
+@lru_cache(10_000)
+def _latin(ch: str) -> bool:
+    return unicodedata.name(ch, "").startswith(("LATIN", "FEMININE", "MASCULINE", "MICRO"))
+
+
+def odd(word: str) -> int:
+    """Characters next to Latin letters that don't belong in a word: signs and letters of other scripts."""
+    near = [c.isalpha() and (c.isascii() or _latin(c)) for c in word]
+    return sum(
+        (_SIGNS.match(c) is not None or (c.isalpha() and not near[i])) and (any(near[max(0, i - 1) : i]) or any(near[i + 1 : i + 2]))
+        for i, c in enumerate(word)
+        if not c.isascii()
+    )
+
+
 def words_of(data: bytes, cache: dict[bytes, tuple[str, ...]]) -> set[str]:
     """Words with a character above ASCII."""
     out: set[str] = set()
@@ -140,55 +161,66 @@ def words_of(data: bytes, cache: dict[bytes, tuple[str, ...]]) -> set[str]:
     return out
 
 
-COUNTS = T.StructType([T.StructField("tab", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+COUNTS = T.StructType([
+    T.StructField("tab", T.StringType()), T.StructField("word", T.StringType()), T.StructField("char", T.BooleanType()),
+    T.StructField("n", T.LongType()), T.StructField("rows", T.LongType()),
+])
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """``tab, word, n``: in how many texts each word with a character above ASCII stands."""
+    """``tab, word, char, n, rows``: in how many different texts, and rows, each word with a character above ASCII, and each such character
+    (``char``), stands."""
 
     def run(batches):
-        counts: dict[tuple[str, str], int] = {}
+        counts: dict[tuple[str, str, bool], list[int]] = {}
         cache: dict[bytes, tuple[str, ...]] = {}
 
         def flush():
             keys = list(counts)
             batch = pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=COUNTS.names
+                [*(pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))), *(pa.array([v[i] for v in counts.values()], pa.int64()) for i in (0, 1))], names=COUNTS.names
             )
             counts.clear()
             return batch
 
         for b in batches:
-            for tab, data in zip(b.column("tab").to_pylist(), b.column("data").to_pylist(), strict=True):
+            for tab, data, rows in zip(*(b.column(c).to_pylist() for c in ("tab", "data", "rows")), strict=True):
                 if not data.isascii():
-                    for w in words_of(data, cache):
-                        counts[tab, w] = counts.get((tab, w), 0) + 1
+                    words = words_of(data, cache)
+                    for key in [*((tab, w, False) for w in words), *((tab, c, True) for c in set("".join(words)) if not c.isascii())]:
+                        count = counts.setdefault(key, [0, 0])
+                        count[0] += 1
+                        count[1] += rows
             if len(counts) > 200_000:
                 yield flush()
         yield flush()
 
-    found = texts.filter("length(data) > 0").select("tab", "data").mapInArrow(run, COUNTS)
-    return found.groupBy("tab", "word").agg(F.sum("n").alias("n"))
+    different = texts.filter(F.col("data").cast("string").rlike("[^\\x00-\\x7f]")).groupBy("tab", "data").agg(F.count("*").alias("rows"))
+    found = different.mapInArrow(run, COUNTS)
+    return found.groupBy("tab", "word", "char").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
 
 
 JUDGED = T.StructType([
-    T.StructField("tab", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType()),
-    T.StructField("restored", T.StringType()),
+    T.StructField("tab", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("rows", T.LongType()),
+    T.StructField("restored", T.StringType()), T.StructField("odd", T.IntegerType()),
+])
+FORMS = T.StructType([
+    T.StructField("form", T.StringType()), T.StructField("original", T.StringType()), T.StructField("n_original", T.LongType()),
+    T.StructField("rows_original", T.LongType()), T.StructField("odd_original", T.IntegerType()),
 ])
-FORMS = T.StructType([T.StructField("form", T.StringType()), T.StructField("original", T.StringType()), T.StructField("n_original", T.LongType())])
 
 
 def affected_words(texts: DataFrame, rare: float = 0.001, frequent: float = 0.004) -> DataFrame:
     """``tab, word, restored`` of every word that wrong decoding produced.
 
-    A character is common in a table if words with it make up at least ``rare`` of its texts, and one whose garbled
+    A character is common in a table if at least ``rare`` of its different texts hold it, and one whose garbled
     sequences are searched within words if at least ``frequent``.
     """
-    words = cut(vocabulary(texts))
-    sizes = {r.tab: r.n for r in texts.groupBy("tab").agg(F.count("*").alias("n")).collect()}
+    counted = cut(vocabulary(texts))
+    words = counted.filter("not char").drop("char")
+    sizes = {r.tab: r.n for r in texts.groupBy("tab").agg(F.countDistinct(F.xxhash64("data")).alias("n")).collect()}
     # At most one row for each table and character of Unicode.
-    chars = words.select("tab", "n", F.explode(F.array_distinct(F.split("word", ""))).alias("ch")).filter(F.col("ch").rlike("[^\\x00-\\x7f]"))
-    chars = chars.groupBy("tab", "ch").agg(F.sum("n").alias("n")).collect()
+    chars = counted.filter("char").select("tab", F.col("word").alias("ch"), "n").collect()
     common = {t: {r.ch for r in chars if r.tab == t and r.n >= rare * sizes[t]} for t in sizes}
     often = {t: {r.ch for r in chars if r.tab == t and r.n >= frequent * sizes[t]} for t in sizes}
 
@@ -200,20 +232,20 @@ def affected_words(texts: DataFrame, rare: float = 0.001, frequent: float = 0.00
                 if tab not in judges:
                     judges[tab] = Judge(common[tab], often[tab])
                 restored.append(judges[tab].restore(w))
-            yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("word"), b.column("n"), pa.array(restored, pa.string())], names=JUDGED.names)
+            yield pa.RecordBatch.from_arrays([b.column("tab"), b.column("word"), b.column("n"), b.column("rows"), pa.array(restored, pa.string()), pa.array([odd(w) for w in b.column("word").to_pylist()], pa.int32())], names=JUDGED.names)
 
     judged = cut(words.mapInArrow(judge, JUDGED))
 
     def forms(batches):
         for b in batches:
-            out = [(f, w, n) for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True) for f in garbled(w)]
-            f, w, n = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(w, pa.string()), pa.array(n, pa.int64())], names=FORMS.names)
+            out = [(f, *row) for row in zip(*(b.column(c).to_pylist() for c in ("word", "n", "rows", "odd")), strict=True) for f in garbled(row[0])]
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=FORMS.names)
 
-    clean = judged.filter("restored is null").groupBy("word").agg(F.sum("n").alias("n"))
-    table = clean.select("word", "n").mapInArrow(forms, FORMS)
+    clean = judged.filter("restored is null").groupBy("word").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.max("odd").alias("odd"))
+    table = clean.select("word", "n", "rows", "odd").mapInArrow(forms, FORMS)
     # Only forms that occur are kept: the words are the small side.
-    met = judged.join(table, judged["word"] == table["form"]).filter("n < n_original")
+    met = judged.join(table, judged["word"] == table["form"]).filter("odd > odd_original or (odd = odd_original and (n < n_original or (n = n_original and rows < rows_original)))")
     best = met.groupBy("tab", "word").agg(F.max(F.struct("n_original", "original"))["original"].alias("original"), F.first("restored").alias("restored"), F.max("n").alias("n"))
     # A sign that stands alone and is itself common is correct, although some chain leads to it.
     usual = [c for t in sizes for c in common[t]]
