@@ -188,6 +188,16 @@ def test_garbled_majority(spark, copied):
     assert {r.row_key for r in encodings.garbled_rows(t).collect()} == set(range(100, 160))
 
 
+def test_removals_unite_items(spark):
+    """Three items of 15 words each in a document of 100: 45 % leaked, no item above 20 %."""
+    items = [(i, " ".join(f"item{i}w{j}" for j in range(15))) for i in range(3)]
+    pad = [" ".join(f"pad{i}w{j}" for j in range(n)) for i, n in enumerate((10, 20, 25))]
+    docs = [(1, " ".join(f"{p} {t}" for p, (_, t) in zip(pad, items, strict=True))), (2, f"{pad[2]} {pad[1]} {pad[0]} {items[0][1]} {pad[2]}")]
+    found = leaks.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {r.doc_id: (r.action, r.covered, [(x.begin, x.end) for x in r.spans]) for r in leaks.removals(found.unionByName(found)).collect()}
+    assert got == {1: ("drop", 45, [(10, 25), (45, 60), (85, 100)]), 2: ("cut", 15, [(55, 70)])}
+
+
 def test_leaks(spark):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(30)]

@@ -149,15 +149,19 @@ class Automaton:
                     yield from ((item, at, size) for item in self.items[state])
 
 
+SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+ARROW_SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 LEAK = T.StructType([
     T.StructField("doc", T.LongType()), T.StructField("item", T.LongType()), T.StructField("longest", T.IntegerType()),
     T.StructField("covered", T.IntegerType()), T.StructField("n_words", T.IntegerType()),
+    T.StructField("spans", SPANS),
 ])
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 12, block: int = 200_000) -> DataFrame:
-    """``<key>, <item>, longest, covered, n_words``: the longest shared passage of each document and item, the words of
-    the document that lie in shared passages of at least ``least`` words, and all its words."""
+    """``<key>, <item>, longest, covered, n_words, spans``: the longest shared passage of each document and item, the words of
+    the document that lie in shared passages of at least ``least`` words, all its words, and the passages as positions of words (``Folding.split``),
+    the end not included."""
     folding = Folding()
     blocks, size = [[]], 0
     for r in items.select(F.col(item).alias("i"), F.col(item_text).alias("t")).filter("t is not null and i is not null").orderBy("i").toLocalIterator():
@@ -183,15 +187,17 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
                     spans: dict[int, list] = {}
                     for i, at, size in auto.matches(ids):
-                        # spans[i]: longest match, words covered, first position not yet counted
-                        s = spans.setdefault(i, [0, 0, 0])
+                        # spans[i]: longest match, passages
+                        s = spans.setdefault(i, [0, []])
                         s[0] = max(s[0], size)
-                        begin = max(at + 1 - auto.least, s[2])
-                        s[1] += at + 1 - begin
-                        s[2] = at + 1
-                    found += [(doc, i, s[0], s[1], len(words)) for i, s in spans.items()]
-                columns = list(zip(*found, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=LEAK.names)
+                        begin = at + 1 - auto.least
+                        if s[1] and begin <= s[1][-1]["end"]:
+                            s[1][-1]["end"] = at + 1
+                        else:
+                            s[1].append({"begin": begin, "end": at + 1})
+                    found += [(doc, i, s[0], sum(x["end"] - x["begin"] for x in s[1]), len(words), s[1]) for i, s in spans.items()]
+                columns = list(zip(*found, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), ARROW_SPANS), strict=True)], names=LEAK.names)
 
         got = rows.mapInArrow(run, LEAK)
         out = got if out is None else out.unionByName(got)
@@ -199,7 +205,20 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 
 def removals(found: DataFrame, key: str = "doc_id", most_words: int = 50, most_share: float = 0.2) -> DataFrame:
-    """What to do with each leaking document: drop it beyond a limit of length or coverage, else cut its passages."""
-    per = found.groupBy(key).agg(F.max("longest").alias("longest"), F.max("covered").alias("covered"), F.max("n_words").alias("n_words"), F.count("*").alias("n_items"))
+    """What to do with each leaking document: drop it beyond a limit of length or coverage, else cut its passages.
+
+    ``spans`` are its passages, united over all items, as in ``leaks``; ``covered`` are the words in them."""
+    spans = F.array_sort(F.flatten(F.collect_list("spans")))
+    per = found.groupBy(key).agg(F.max("longest").alias("longest"), F.max("n_words").alias("n_words"), F.count("*").alias("n_items"), spans.alias("spans"))
+
+    def unite(united, x):
+        last = F.try_element_at(united, F.lit(-1))
+        wider = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], x["end"]).alias("end"))
+        meets = F.coalesce(last["end"] >= x["begin"], F.lit(False))
+        return F.when(meets, F.concat(F.slice(united, 1, F.greatest(F.size(united) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(united, F.array(x)))
+
+    per = per.withColumn("spans", F.aggregate("spans", F.array().cast(SPANS), unite))
+    per = per.withColumn("covered", F.aggregate("spans", F.lit(0), lambda n, x: n + x["end"] - x["begin"]))
     share = F.round(F.col("covered") / F.col("n_words"), 6)
-    return per.select(key, "n_items", "longest", "covered", share.alias("share"), F.when((F.col("longest") > most_words) | (share > most_share), "drop").otherwise("cut").alias("action"))
+    action = F.when((F.col("longest") > most_words) | (share > most_share), "drop").otherwise("cut")
+    return per.select(key, "n_items", "longest", "covered", share.alias("share"), action.alias("action"), "spans")
