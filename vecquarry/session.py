@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,7 +41,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if getattr(sc, "_vecquarry_shipped", None) is None:
         here = Path(__file__).resolve().parent
-        at = os.path.join(tempfile.mkdtemp(prefix="vecquarry-"), "vecquarry.zip")
+        folder = tempfile.mkdtemp(prefix="vecquarry-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = os.path.join(folder, "vecquarry.zip")
         with zipfile.ZipFile(at, "w") as z:
             for p in here.rglob("*.py"):
                 z.write(p, p.relative_to(here.parent))
@@ -53,20 +58,39 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder in ``spark.checkpoint.dir``; a local folder only where a local session has none."""
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Rows over all shuffle partitions, which adaptive execution doesn't merge: for stages whose work is larger than their input."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder in ``spark.checkpoint.dir``; a local session that has none gets one of its own, removed when it ends."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = os.path.join(tempfile.gettempdir(), "vecquarry-checkpoints")
-    sc.setCheckpointDir(shared)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that lost executors don't force its lineage again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if shared:
+        return shared.rstrip("/")
+    if not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if getattr(sc, "_vecquarry_folder", None) is None:
+        sc._vecquarry_folder = tempfile.mkdtemp(prefix="vecquarry-checkpoints-")
+        atexit.register(shutil.rmtree, sc._vecquarry_folder, ignore_errors=True)
+    return "file://" + sc._vecquarry_folder
+
+
+def cut(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+    """``df`` as a written table in the shared checkpoint folder, so that lost executors don't force its lineage again.
+
+    A columnar table is smaller than a checkpoint of rows, and later plans know its size. It is deleted when the
+    application ends, or when a further step of a loop is cut with this table as ``instead``.
+    """
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path)
+    if instead is not None and getattr(instead, "_cut_at", None):
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(instead._cut_at), True)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._cut_at = at
+    return out
