@@ -1,13 +1,18 @@
 """Grouping vectors into similarity clusters (problem 7).
 
 An approximate nearest-neighbour graph starts from the buckets of ``vechash`` and is refined by neighbour descent: every
-vector meets the neighbours of its neighbours. Modularity-based local moving, with moves in one direction of community
-ids a round so that two nodes can't swap for ever, finds communities. Communities joined by a link of at least the
-threshold are one cluster (the exact check that follows: a large cluster is several communities of its sparse graph).
-Clusters are described by their members of the highest internal weighted degree.
+vector meets the neighbours of its neighbours, until fewer than one link in a hundred is new. The graph also holds links
+weaker than those of a cluster. Modularity-based community detection with several levels parts it: nodes move to the
+community where modularity gains most, communities become the nodes of the next level, until nothing moves. The
+communities are the clusters; links of at least the threshold only verify their members. Clusters are described by
+their members of the highest internal weighted degree.
+
+Modularity is taken within each connected component of the graph, so that a cluster doesn't depend on how many other rows
+there are (over a whole collection it merges whatever has a single link). ``resolution`` is the share of the expected
+weight that a union must exceed.
 
 Defined results: invalid vectors and rows without a key belong to no cluster; identical vectors are one node and count with all their rows;
-ties go to the smaller id; an empty table gives no rows.
+a member without a link of at least the threshold into its community is a cluster of its own; ties go to the smaller id; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,22 +24,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecquarry.llm.neighbours import members
-from vecquarry.llm.vechash import Hashing, matrix, nearest, unit, valid
-from vecquarry.session import cut
+from vecquarry.llm.vechash import Hashing, coded_vectors, decoded, nearest, unpacked, valid
+from vecquarry.session import cut, spread
 
-LINKS = T.StructType([T.StructField("id", T.LongType()), T.StructField("nn", T.LongType()), T.StructField("cos", T.DoubleType())])
+LINKS = T.StructType([T.StructField("id", T.LongType()), T.StructField("nn", T.LongType()), T.StructField("cos", T.FloatType())])
 
 
 def _ranked(links: DataFrame) -> DataFrame:
+    """One row for each link, with its rank among those of ``id``; a link met in several places has its largest cosine."""
     w = Window.partitionBy("id").orderBy(F.desc("cos"), "nn")
-    return links.withColumn("r", F.row_number().over(w))
+    return links.repartition("id").groupBy("id", "nn").agg(F.max("cos").alias("cos"), F.max("old").alias("old")).withColumn("r", F.row_number().over(w))
 
 
-def descend(links: DataFrame, vectors: DataFrame, least: float, sent: int = 2, meets: int = 6) -> DataFrame:
+def descend(links: DataFrame, codes: DataFrame, least: float, sent: int = 2, meets: int = 6) -> DataFrame:
     """One round of neighbour descent: each vector goes to its ``sent`` best neighbours, where it meets the others sent
     there (each the next ``meets`` in the order of ids); pairs of at least ``least`` enter the lists."""
     to = links.filter(F.col("r") <= sent).select("id", F.col("nn").alias("at"))
-    here = to.join(vectors, "id").repartition("at").sortWithinPartitions("at", "id").select("at", "id", "vec")
+    here = spread(to.join(codes, "id"), "at").sortWithinPartitions("at", "id").select("at", "id", "code")
 
     def run(batches):
         rest = None
@@ -48,58 +54,122 @@ def descend(links: DataFrame, vectors: DataFrame, least: float, sent: int = 2, m
 
     def meet(t):
         at, ids = np.asarray(t.column("at")), np.asarray(t.column("id"))
-        x = unit(matrix(t.column("vec")))
+        x = decoded(unpacked(t.column("code")))
         for s in range(1, meets + 1):
             i = np.flatnonzero(at[:-s] == at[s:])
-            cos = np.round(np.einsum("ij,ij->i", x[i], x[i + s]), 12)
+            cos = np.einsum("ij,ij->i", x[i], x[i + s])
             i, cos = i[cos >= least], cos[cos >= least]
             a, b = ids[i], ids[i + s]
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, b]), pa.array(np.r_[b, a]), pa.array(np.r_[cos, cos])], names=LINKS.names)
 
-    found = here.mapInArrow(run, LINKS)
-    return _ranked(links.select("id", "nn", "cos").unionByName(found).filter("id != nn").distinct())
-
-
-def hashing(n: int) -> Hashing:
-    """More tables for more rows keep the share of near pairs that meet: no table probes a second group."""
-    return Hashing.sized(n, tables=3, grow=0.75, reach=0.45, route_reach=0.0)
+    found = here.mapInArrow(run, LINKS).withColumn("old", F.lit(0))
+    return _ranked(links.select("id", "nn", "cos", F.lit(1).alias("old")).unionByName(found).filter("id != nn"))
 
 
-def neighbour_graph(vectors: DataFrame, n: int, k: int = 6, least: float = 0.90, rounds: int = 1) -> DataFrame:
-    """``a, b, w, near`` (a < b): undirected links of at least ``least`` among ``kind, id, vec``; only vectors of one kind
-    meet. ``near`` are the links to the k best of either end. The others are kept because they join what those leave
-    apart: a clump of more than k near copies has all its k best inside."""
+def neighbour_graph(vectors: DataFrame, codes: DataFrame, n: int, k: int = 6, least: float = 0.90, weak: float = 0.85, still: float = 0.01) -> DataFrame:
+    """``a, b, w, near`` (a < b): undirected links of at least ``weak`` among ``kind, id, vec``; only vectors of one kind
+    meet. ``near`` are the links to the k best of either end. The others are a spanning forest of the links of at least
+    ``least`` that were met: they join what the k best leave apart, for instance a clump of more than k near copies."""
     flag = F.lit(True)
     asked = vectors.select("kind", "id", flag.alias("stored"), flag.alias("asks"), "vec")
-    found = nearest(asked, hashing(n), {0: least, 1: least}, k, selfless=True, by_kind=True, joined=True)
-    links = cut(_ranked(found.select("id", "nn", "cos").distinct()))
-    for _ in range(rounds):
-        links = descend(links, vectors.select("id", "vec"), least)
-    ends = links.select(F.least("id", "nn").alias("a"), F.greatest("id", "nn").alias("b"), F.col("cos").alias("w"), (F.col("r") <= k).alias("near"))
-    return ends.groupBy("a", "b").agg(F.max("w").alias("w"), F.max("near").alias("near"))
+    found = nearest(asked, Hashing.planned(n), {0: weak, 1: weak}, k, by_kind=True, selfless=True, mutual=True, joined=least)
+    links = cut(_ranked(found.select("id", "nn", "cos", F.lit(0).alias("old"))))
+    while True:
+        new = cut(descend(links, codes, weak), instead=links)
+        kept = new.filter(F.col("r") <= k).agg(F.count("*").alias("n"), F.sum("old").alias("old")).first()
+        links = new
+        if kept.n - (kept.old or 0) <= still * kept.n:
+            break
+    ends = links.select(F.least("id", "nn").alias("a"), F.greatest("id", "nn").alias("b"), F.col("cos").cast("double").alias("w"), (F.col("r") <= k).alias("near"))
+    return ends.groupBy("a", "b").agg(F.round(F.max("w"), 6).alias("w"), F.max("near").alias("near"))
+
+
+def _moved(both: DataFrame, state: DataFrame, resolution: float, down: bool) -> DataFrame:
+    """One round of moves: ``id, k, total, com, moved``. Moves go to smaller ids of communities or to larger ones only, so two nodes
+    can't swap for ever."""
+    here = state.join(state.groupBy("com").agg(F.sum("k").alias("tot")), "com")
+    by = both.join(here.select(F.col("id").alias("to"), "com", "tot"), "to").repartition("id").groupBy("id", "com").agg(F.sum("w").alias("w"), F.first("tot").alias("tot"))
+    cand = by.join(here.select("id", "k", "total", F.col("com").alias("own"), F.col("tot").alias("tot_own")), "id")
+    share = resolution * F.col("k") / F.col("total")
+    mine, gain = F.col("com") == F.col("own"), F.round(F.col("w") - share * F.col("tot"), 9)
+    way = F.col("com") < F.col("own") if down else F.col("com") > F.col("own")
+    best = cand.groupBy("id").agg(
+        F.max(F.when(way, F.struct(gain.alias("gain"), (-F.col("com")).alias("com")))).alias("best"), F.coalesce(F.max(F.when(mine, F.col("w"))), F.lit(0.0)).alias("w"),
+        *(F.first(c).alias(c) for c in ("k", "total", "own", "tot_own")),
+    )
+    stay = F.round(F.col("w") - share * (F.col("tot_own") - F.col("k")), 9)
+    goes = F.coalesce(F.col("best.gain") > stay, F.lit(False))
+    return best.select("id", "k", "total", F.when(goes, -F.col("best.com")).otherwise(F.col("own")).alias("com"), goes.cast("int").alias("moved"))
+
+
+def _estimated(links: DataFrame, state: DataFrame, codes: DataFrame, weak: float, typical: int = 4) -> DataFrame:
+    """``id, to, w``: the weight of all similar pairs of two linked communities, estimated from their ``typical`` members of
+    the highest degree: the neighbour lists hold only a few links a vector, and none between two clumps of near copies."""
+    top = F.row_number().over(Window.partitionBy("com").orderBy(F.desc("k"), "id"))
+    reps = state.select("id", "com", "k").withColumn("r", top).filter(F.col("r") <= typical).join(codes, "id")
+    reps = reps.groupBy("com").agg(F.collect_list("code").alias("codes")).join(state.groupBy("com").agg(F.count("*").alias("n")), "com")
+    pairs = links.select("id", "to").distinct().filter("id < to")
+    for end in ("id", "to"):
+        pairs = pairs.join(reps.select(F.col("com").alias(end), F.col("codes").alias(f"c_{end}"), F.col("n").alias(f"n_{end}")), end)
 
-
-def communities(links: DataFrame, rounds: int = 3) -> DataFrame:
-    """``id, com`` by modularity: each node starts with its smallest neighbour and moves where modularity gains most."""
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("to"), "w").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("to"), "w"))
-    both = cut(both)
-    degree = both.groupBy("id").agg(F.sum("w").alias("k"), F.min("to").alias("m"))
-    state = cut(degree.select("id", "k", F.least("id", "m").alias("com")))
-    total = state.agg(F.sum("k")).first()[0]
-    if not total:
-        return state.select("id", "com")
-    for i in range(rounds):
-        tot = state.groupBy("com").agg(F.sum("k").alias("tot"))
-        by = both.join(state.select(F.col("id").alias("to"), "com"), "to").groupBy("id", "com").agg(F.sum("w").alias("w"))
-        own = state.select("id", "k", F.col("com").alias("own"))
-        # Every node may also stay, even where no neighbour shares its community.
-        by = by.unionByName(state.select("id", "com", F.lit(0.0).alias("w"))).groupBy("id", "com").agg(F.sum("w").alias("w"))
-        cand = by.join(own, "id").join(tot, "com")
-        rest = F.col("tot") - F.when(F.col("com") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - F.col("k") * rest / total, 9)
-        way = F.col("com") <= F.col("own") if i % 2 == 0 else F.col("com") >= F.col("own")
-        state = cut(cand.filter(way).groupBy("id").agg(F.max(F.struct(gain, -F.col("com"))).alias("best"), F.first("k").alias("k")).select("id", "k", (-F.col("best")["col2"]).alias("com")))
-    return state.select("id", "com")
+    def run(batches):
+        for b in batches:
+            w = np.zeros(b.num_rows)
+            x, y = (b.column(c) for c in ("c_id", "c_to"))
+            vx, vy = (decoded(unpacked(c.flatten())) for c in (x, y))
+            ox, oy = (np.r_[0, np.cumsum(np.asarray(c.value_lengths()))] for c in (x, y))
+            for i in range(b.num_rows):
+                cos = vx[ox[i] : ox[i + 1]] @ vy[oy[i] : oy[i + 1]].T
+                w[i] = np.where(cos >= weak, cos, 0).mean()
+            w = np.round(w * np.asarray(b.column("n_id")) * np.asarray(b.column("n_to")), 6)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("to"), pa.array(w)], names=["id", "to", "w"])
+
+    found = pairs.mapInArrow(run, "id bigint, to bigint, w double").filter("w > 0")
+    return found.unionByName(found.select(F.col("to").alias("id"), F.col("id").alias("to"), "w"))
+
+
+def communities(links: DataFrame, codes: DataFrame | None = None, resolution: float = 0.1, weak: float = 0.85, still: float = 0.01) -> DataFrame:
+    """``id, com`` of the nodes in ``a, b, w``: modularity over several levels, within each connected component.
+
+    A level ends when fewer than one node in a hundred moves in both directions; the last is the one in which none does.
+    With ``codes`` (``id, code``) the links of the first communities are weighed by ``_estimated``.
+    """
+    both = cut(links.select(F.col("a").alias("id"), F.col("b").alias("to"), "w").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("to"), "w")))
+    part = components(links.select("a", "b"))
+
+    def weighed(k: DataFrame) -> DataFrame:
+        k = k.join(part, "id")
+        return k.join(k.groupBy("root").agg(F.sum("k").alias("total")), "root").select("id", "k", "total")
+
+    nodes = cut(weighed(both.groupBy("id").agg(F.sum("w").alias("k"))))
+    named = cut(nodes.select("id", F.col("id").alias("com")))
+    while True:
+        n = nodes.count()
+        state, any_move, last, down = nodes.withColumn("com", F.col("id")), 0, n, True
+        while n:
+            state = cut(_moved(both, state.select("id", "k", "total", "com"), resolution, down), instead=state)
+            moved = state.agg(F.sum("moved").alias("m")).first().m or 0
+            any_move += moved
+            if max(moved, last) <= still * n:
+                break
+            last, down = moved, not down
+        if not any_move:
+            return named
+        coms = state.select("id", "com")
+        # Communities that were final before have no row on this level.
+        up = named.withColumnRenamed("com", "mid").join(coms.withColumnRenamed("id", "mid"), "mid", "left")
+        named = cut(up.select("id", F.coalesce("com", "mid").alias("com")), instead=named)
+        # Links within a community are left out of the next level: they no longer decide anything.
+        joined = both.join(coms, "id").join(coms.select(F.col("id").alias("to"), F.col("com").alias("far")), "to").filter("com != far")
+        joined = joined.groupBy(F.col("com").alias("id"), F.col("far").alias("to")).agg(F.round(F.sum("w"), 6).alias("w"))
+        both = cut(joined if codes is None else _estimated(joined, state, codes, weak), instead=both)
+        if codes is None:
+            merged = state.groupBy(F.col("com").alias("id")).agg(F.sum("k").alias("k"), F.first("total").alias("total"))
+        else:
+            within = state.groupBy(F.col("com").alias("id")).agg((F.count("*") * (F.count("*") - 1)).cast("double").alias("k"))
+            merged = weighed(within.unionByName(both.groupBy("id").agg(F.sum("w").alias("k"))).groupBy("id").agg(F.sum("k").alias("k")))
+        # Communities without a link to others are final.
+        nodes, codes = cut(merged.join(both.select("id").distinct(), "id", "left_semi"), instead=nodes), None
 
 
 def components(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -108,17 +178,24 @@ def components(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
     both = cut(both)
     state = cut(both.groupBy("id").agg(F.least(F.min("to"), F.first("id")).alias("root")))
     for _ in range(most_rounds):
-        spread = both.join(state.select(F.col("id").alias("to"), "root"), "to").groupBy("id").agg(F.min("root").alias("low"))
-        step = state.join(spread, "id").select("id", F.least("root", "low").alias("mid"), F.col("root").alias("old"))
+        low = both.join(state.select(F.col("id").alias("to"), "root"), "to").groupBy("id").agg(F.min("root").alias("low"))
+        step = state.select("id", "root").join(low, "id").select("id", F.least("root", "low").alias("mid"), F.col("root").alias("old"))
         jump = step.join(state.select(F.col("id").alias("mid"), F.col("root").alias("far")), "mid", "left")
-        new = cut(jump.select("id", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")))
-        if new.filter("root != old").limit(1).count() == 0:
-            return new.select("id", "root")
-        state = new.select("id", "root")
+        state = cut(jump.select("id", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")), instead=state)
+        if state.filter("root != old").limit(1).count() == 0:
+            return state.select("id", "root")
     raise RuntimeError("labels still change")
 
 
-def clusters(tables: dict[str, tuple[DataFrame, str, str]], least: float = 0.90, k: int = 6) -> DataFrame:
+def verified(com: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """``id, cluster``: members with a link of at least ``least`` into their community; its smallest such id names it."""
+    ends = links.filter(F.col("w") >= least).join(com.select(F.col("id").alias("a"), F.col("com").alias("ca")), "a").join(com.select(F.col("id").alias("b"), F.col("com").alias("cb")), "b")
+    inside = ends.filter("ca = cb").select(F.explode(F.array("a", "b")).alias("id"), F.col("ca").alias("com")).distinct()
+    first = inside.groupBy("com").agg(F.min("id").alias("cluster"))
+    return inside.join(first, "com").select("id", "cluster")
+
+
+def clusters(tables: dict[str, tuple[DataFrame, str, str]], least: float = 0.90, k: int = 6, resolution: float = 0.1) -> DataFrame:
     """``tab, row, first, size, degree`` for every row with a valid vector; up to two tables, ``name: (df, key, vec)``."""
     names = list(tables)
     nodes, rows = None, None
@@ -127,15 +204,14 @@ def clusters(tables: dict[str, tuple[DataFrame, str, str]], least: float = 0.90,
         v = df.filter(valid(F.col(vec)) & F.col(key).isNotNull()).select(F.lit(i).alias("kind"), (F.col(key) * 2 + i).alias("id"), F.col(vec).alias("vec"))
         m = members(df, key, vec).select(F.lit(i).alias("kind"), F.col("member").alias("row"), (F.col("id") * 2 + i).alias("id"))
         nodes, rows = (v, m) if nodes is None else (nodes.unionByName(v), rows.unionByName(m))
-    links = cut(neighbour_graph(nodes, rows.count(), k, least))
-    near = links.filter("near").drop("near")
-    com = communities(near)
-    ends = links.join(com.select(F.col("id").alias("a"), F.col("com").alias("ca")), "a").join(com.select(F.col("id").alias("b"), F.col("com").alias("cb")), "b")
-    between = ends.filter("ca != cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "w")
-    root = components(between.filter(F.col("w") >= least).select("a", "b").distinct())
-    named = com.join(root.withColumnRenamed("id", "com"), "com", "left").select("id", F.coalesce("root", "com").alias("cluster"))
-    degree = near.select(F.col("a").alias("id"), "w").unionByName(near.select(F.col("b").alias("id"), "w")).groupBy("id").agg(F.round(F.sum("w"), 6).alias("degree"))
-    named = named.join(degree, "id")
+    codes = cut(coded_vectors(nodes, "id"))
+    links = cut(neighbour_graph(nodes, codes, nodes.count(), k, least))
+    com = communities(links.select("a", "b", "w"), codes, resolution)
+    named = verified(com, links, least)
+    near = links.filter("near")
+    inside = near.join(com.select(F.col("id").alias("a"), F.col("com").alias("ca")), "a").join(com.select(F.col("id").alias("b"), F.col("com").alias("cb")), "b").filter("ca = cb")
+    degree = inside.select(F.col("a").alias("id"), "w").unionByName(inside.select(F.col("b").alias("id"), "w")).groupBy("id").agg(F.round(F.sum("w"), 6).alias("degree"))
+    named = named.join(degree, "id", "left")
     full = rows.join(named, "id", "left").select("kind", "row", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("degree", F.lit(0.0)).alias("degree"))
     per = full.groupBy("cluster").agg(F.min("row").alias("first"), F.count("*").alias("size"))
     tab = F.element_at(F.array(*map(F.lit, names)), F.col("kind") + 1)

@@ -65,6 +65,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.cross_split_pairs(df).select("row_id_a", "row_id_b").distinct()
 
 
+def p6_fractions(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.overlap_fractions(table(spark, d, "datacomp_pool", "row_id", "split", "text"))
+
+
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.overlap_report(table(spark, d, "datacomp_pool", "row_id", "split", "source", "text", "b32_img"))
 
@@ -121,7 +125,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_collapsed, p2_found, p2_canonical, p3_found, p3_documents, p3_segments, p4_found, p4_restored, p5_found, p6_found, p6_report, p7_found, p7_described,
+        p1_found, p1_collapsed, p2_found, p2_canonical, p3_found, p3_documents, p3_segments, p4_found, p4_restored, p5_found, p6_found, p6_fractions, p6_report, p7_found, p7_described,
         p8_packed, p8_filled, p9_found, p9_removals, p10_found, p10_composition,
     )
 }
