@@ -1,13 +1,14 @@
 """Subject areas of documents (problem 10): labelling functions under an accuracy-learning latent model.
 
 Labelling functions vote on (document, subject): the lexicon over the deciding section (claims, or the abstract where
-there are none), over the abstract, over the description, the applicant and the source. The lexicon comes from the
+there are none), over the abstract, over the description, the applicant and the source. A vote is a level: which share of the lexicon
+words of the section, or of the applicant's documents, speak for the subject. The lexicon comes from the
 labelled documents (at most ``sample`` of them, lowest hash of the id) and is then relearned over all documents that one
-subject dominates, so a few wrong labels or rare words don't matter. An EM over the counts of vote patterns learns how
-often each function is right, without labels; documents get the subjects whose posterior is at least one half and for
-which the deciding section has evidence, because passing mentions elsewhere don't count.
+subject dominates, so a few wrong labels or rare words don't matter. An EM over the counts of vote patterns learns, without
+labels, how often each function gives each level where the subject holds and where it doesn't; no share is fixed beforehand
+as enough. Documents get the subjects whose posterior is at least one half.
 
-Defined results: rows without a key, null and empty texts, and texts without a lexicon word in the deciding section, give no rows; equal
+Defined results: rows without a key, null and empty texts, and texts without a lexicon word, give no rows; equal
 evidence gives several subjects; ties in a word's counts go to the subject first in the alphabet.
 """
 
@@ -18,7 +19,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,116 +81,162 @@ def _count_words(batches, subjects_of):
     yield flush()
 
 
-def _lexicon(counted: DataFrame, least: int, purity: float, most: int = 200_000) -> dict[str, str]:
-    """Words of which at least ``purity`` of the documents are of one subject; at most ``most``, the most frequent first."""
+LEXICON = "word string, subject string"
+
+
+def _lexicon(counted: DataFrame, least: int, purity: float) -> DataFrame:
+    """``word, subject``: words of which at least ``purity`` of the documents are of one subject."""
     per = counted.groupBy("word", "subject").agg(F.sum("n").alias("n"))
-    total = per.filter("subject = ''").select("word", F.col("n").alias("total"))
-    best = per.filter("subject != ''").groupBy("word").agg(F.max("n").alias("n"), F.max_by("subject", F.struct("n", F.reverse("subject"))).alias("subject"))
-    rows = best.join(total, "word").filter((F.col("n") >= least) & (F.col("n") >= purity * F.col("total"))).orderBy(F.desc("n"), "word").limit(most).collect()
-    return {r.word: r.subject for r in rows}
+    total, named = F.max(F.when(F.col("subject") == "", F.col("n"))), F.col("subject") != ""
+    best = per.groupBy("word").agg(
+        total.alias("total"), F.max(F.when(named, F.col("n"))).alias("n"),
+        F.max_by("subject", F.when(named, F.struct("n", F.transform(F.split("subject", ""), lambda c: -F.ascii(c))))).alias("subject"),
+    )
+    return cut(best.filter((F.col("n") >= least) & (F.col("n") >= purity * F.col("total"))).select("word", "subject"))
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 20_000, purity: float = 0.75) -> dict[str, str]:
-    """``docs``: id, text; ``labels``: id, subject."""
+def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = 20_000, purity: float = 0.75) -> DataFrame:
+    """``docs``: id, text; ``labels``: id, subject; ``word, subject`` comes out."""
     marked = labels.groupBy("id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    seen = docs.join(marked, "id")
+    # At most ``sample`` rows, so no text is shuffled for them.
+    seen = docs.join(F.broadcast(marked), "id")
     first = _lexicon(seen.select("text", "subjects").mapInArrow(lambda it: _count_words(it, lambda section, row: row["subjects"]), COUNTS), 2, purity)
-    start = docs.sparkSession.sparkContext.broadcast(first)
+    # The words of at most ``sample`` documents.
+    start = docs.sparkSession.sparkContext.broadcast({r.word: r.subject for r in first.collect()})
 
     def dominant(section: str, row: dict) -> list[str]:
-        h = hits(section, start.value).most_common(1)
-        total = sum(hits(section, start.value).values())
-        return [h[0][0]] if h and h[0][1] >= 3 and h[0][1] >= 0.75 * total else []
+        found = hits(section, start.value)
+        h = found.most_common(1)
+        return [h[0][0]] if h and h[0][1] >= 3 and h[0][1] >= 0.75 * found.total() else []
+
+    second = _lexicon(docs.select("text").mapInArrow(lambda it: _count_words(it, dominant), COUNTS), 5, 0.8)
+    return second if second.limit(1).count() else first
+
+
+SECTIONS = FUNCTIONS[:3]
+HITS = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("applicant", T.StringType()), T.StructField("source", T.StringType()), T.StructField("subject", T.StringType()),
+    *(T.StructField(f, T.IntegerType()) for f in SECTIONS), *(T.StructField(f"all_{f}", T.IntegerType()) for f in SECTIONS),
+])
+TOKENS = T.StructType([*HITS.fields[:3], T.StructField("word", T.StringType()), *(T.StructField(f, T.IntegerType()) for f in SECTIONS)])
 
-    return _lexicon(docs.select("text").mapInArrow(lambda it: _count_words(it, dominant), COUNTS), 5, 0.8) or first
 
+def _parts(text: str) -> tuple[str, str, str]:
+    """Deciding section, abstract where it doesn't decide, description."""
+    claims, abstract, description = sections(text)
+    return claims or abstract, abstract if claims else "", description
 
-VOTES = T.StructType([T.StructField("id", T.LongType()), T.StructField("subject", T.StringType()), *(T.StructField(f, T.IntegerType()) for f in FUNCTIONS[:3])])
 
+def section_hits(docs: DataFrame, lexicon: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``HITS``: for each document and subject with a lexicon word anywhere how many its sections hold, and how many of all
+    subjects. A lexicon of more than ``most`` words isn't broadcast: the documents' words are joined with it."""
+    docs = docs.select("id", "applicant", "source", "text")
+    if lexicon.count() > most:
 
-def text_votes(docs: DataFrame, lexicon: dict[str, str], share: float = 0.18) -> DataFrame:
-    """A row for each document and subject with a lexicon word anywhere: 1, -1, or 0 where a section says nothing."""
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+        def tokens(batches):
+            for b in batches:
+                out = []
+                for row in b.to_pylist():
+                    counts = [Counter(WORDS.findall(x.lower())) for x in _parts(row["text"])]
+                    out += [(row["id"], row["applicant"], row["source"], w, *(c[w] for c in counts)) for w in dict.fromkeys(w for c in counts for w in c)]
+                cols = list(zip(*out, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.string()] * 3, *[pa.int32()] * 3), strict=True)], names=TOKENS.names)
+
+        met = docs.mapInArrow(tokens, TOKENS).join(lexicon, "word").groupBy("id", "subject").agg(*(F.first(c).alias(c) for c in ("applicant", "source")), *(F.sum(f).cast("int").alias(f) for f in SECTIONS))
+        w = Window.partitionBy("id")
+        return met.select(*HITS.names[:7], *(F.sum(f).over(w).cast("int").alias(f"all_{f}") for f in SECTIONS))
+    shared = docs.sparkSession.sparkContext.broadcast({r.word: r.subject for r in lexicon.collect()})
 
     def run(batches):
         lex = shared.value
         for b in batches:
             out = []
-            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                claims, abstract, description = sections(text)
-                parts = [hits(x, lex) for x in (claims or abstract, abstract, description)]
-                totals = [sum(p.values()) for p in parts]
-                for s in {s for p in parts for s in p}:
-                    out.append((i, s, *(0 if not t else 1 if p[s] >= share * t else -1 for p, t in zip(parts, totals, strict=True))))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names=VOTES.names)
+            for row in b.to_pylist():
+                found = [hits(x, lex) for x in _parts(row["text"])]
+                totals = [c.total() for c in found]
+                out += [(row["id"], row["applicant"], row["source"], s, *(c[s] for c in found), *totals) for s in sorted({s for c in found for s in c})]
+            cols = list(zip(*out, strict=True)) or [()] * 10
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.string()] * 3, *[pa.int32()] * 6), strict=True)], names=HITS.names)
+
+    return docs.mapInArrow(run, HITS)
+
+
+#: Upper ends of the shares of a level, after level 1 (none). Level 0: the function says nothing.
+LEVELS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5)
+
 
-    return docs.select("id", "text").mapInArrow(run, VOTES)
+def level(n: Column, total: Column) -> Column:
+    share = n / F.when(total > 0, total)
+    out = F.when(share.isNull(), 0).when(share <= 0, 1)
+    for i, end in enumerate(LEVELS):
+        out = out.when(share <= end, 2 + i)
+    return out.otherwise(2 + len(LEVELS))
 
 
-def key_votes(votes: DataFrame, keys: DataFrame, column: str, least: int = 10, lift: float = 0.5) -> DataFrame:
-    """Votes of an applicant or source: 1 for a subject that at least ``lift`` of its documents have, else -1."""
-    known = votes.filter("claims = 1").join(keys.select("id", column).filter(F.col(column).isNotNull()), "id")
-    per = known.groupBy(column, "subject").agg(F.count("*").alias("n"))
-    total = per.groupBy(column).agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-    rate = per.join(total, column).select(column, "subject", F.when(F.col("n") >= lift * F.col("total"), 1).otherwise(-1).alias("vote"))
-    mine = votes.select("id", "subject").join(keys.select("id", column), "id").join(rate, [column, "subject"])
-    return mine.select("id", "subject", F.col("vote").alias(column))
+def key_votes(found: DataFrame, column: str, least: int = 10) -> DataFrame:
+    """``<column>, subject, vote``: the level of the mean share of the subject in the deciding sections of an applicant's or a
+    source's documents, if there are at least ``least``."""
+    share = F.col("claims") / F.when(F.col("all_claims") > 0, F.col("all_claims"))
+    per = found.filter(F.col(column).isNotNull()).groupBy(column, "subject").agg(F.round(F.sum(share), 6).alias("n"))
+    # The shares of a document add up to one.
+    total = per.groupBy(column).agg(F.sum("n").alias("total")).filter(F.col("total") >= least - 1e-3)
+    return per.join(total, column).select(column, "subject", level(F.coalesce("n", F.lit(0.0)), F.col("total")).alias("vote"))
 
 
-def learn_accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 40) -> tuple[float, list[tuple[float, float]]]:
-    """EM for one binary latent label and votes in {-1, 0, 1}: the prior, and each function's rates of 1 given yes and no.
+def learn_rates(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[list[tuple[float, float]]]]:
+    """EM for one binary latent label and votes in levels: the prior, and how often each function gives each level where
+    the label holds and where it doesn't.
 
-    It starts from the belief that every function is right more often than not, the deciding section most of all.
+    It starts from the belief that a subject is the likelier the larger its share in the deciding section.
     """
-    m = len(patterns[0][0])
-    prior, rates = 0.5, [(0.95, 0.05)] + [(0.7, 0.3)] * (m - 1)
+    m, top = len(patterns[0][0]), 2 + len(LEVELS)
+    belief = [(v[0] - 1) / (top - 1) if v[0] else 0.2 for v, _ in patterns]
+    prior, rates = 0.5, []
     for _ in range(rounds):
-        yes = no = 1.0
-        up = [[1.0, 2.0, 1.0, 2.0] for _ in range(m)]  # votes of 1 and all votes, given yes and given no
-        for votes, n in patterns:
-            p = posterior(votes, prior, rates)
-            yes, no = yes + n * p, no + n * (1 - p)
+        yes = [[0.1] * (top + 1) for _ in range(m)]
+        no = [[0.1] * (top + 1) for _ in range(m)]
+        for (votes, n), p in zip(patterns, belief, strict=True):
             for j, v in enumerate(votes):
-                if v:
-                    up[j][0] += n * p * (v > 0)
-                    up[j][1] += n * p
-                    up[j][2] += n * (1 - p) * (v > 0)
-                    up[j][3] += n * (1 - p)
-        prior, rates = yes / (yes + no), [(a / b, c / d) for a, b, c, d in up]
+                yes[j][v] += n * p
+                no[j][v] += n * (1 - p)
+        n_yes, n_no = (sum(n * q for (_, n), q in zip(patterns, part, strict=True)) + 1 for part in (belief, [1 - p for p in belief]))
+        prior = n_yes / (n_yes + n_no)
+        # Level 0 tells nothing.
+        rates = [[(1.0, 1.0), *((a / sum(y[1:]), b / sum(x[1:])) for a, b in zip(y[1:], x[1:], strict=True))] for y, x in zip(yes, no, strict=True)]
+        belief = [posterior(v, prior, rates) for v, _ in patterns]
     return prior, rates
 
 
-def posterior(votes: tuple[int, ...], prior: float, rates: list[tuple[float, float]]) -> float:
+def posterior(votes: tuple[int, ...], prior: float, rates: list[list[tuple[float, float]]]) -> float:
     z = math.log(prior / (1 - prior))
-    for v, (a, b) in zip(votes, rates, strict=True):
-        if v:
-            a, b = min(max(a, 1e-4), 1 - 1e-4), min(max(b, 1e-4), 1 - 1e-4)
-            z += math.log(a / b) if v > 0 else math.log((1 - a) / (1 - b))
+    for v, r in zip(votes, rates, strict=True):
+        z += math.log(r[v][0] / r[v][1])
     return 1 / (1 + math.exp(-min(max(z, -50), 50)))
 
 
-def assign(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``<key>, subject, probability, in_section`` for every document and subject with a vote.
+def assign(docs: DataFrame, labels: DataFrame, key: str = "doc_id", most: int = 1_000_000) -> DataFrame:
+    """``<key>, subject, probability`` for every document and subject with a vote.
 
     ``docs``: key, text, applicant, source; ``labels``: key, subject.
     """
     docs = docs.select(F.col(key).alias("id"), "text", "applicant", "source").filter("id is not null and length(text) > 0")
     lexicon = learn_lexicon(docs.select("id", "text"), labels.select(F.col(key).alias("id"), "subject").dropna())
-    votes = cut(text_votes(docs, lexicon))
-    for column in ("applicant", "source"):
-        votes = votes.join(key_votes(votes, docs, column), ["id", "subject"], "left").fillna(0, [column])
-    votes = cut(votes)
-    counted = votes.groupBy(*FUNCTIONS).agg(F.count("*").alias("n")).orderBy(*FUNCTIONS).collect()  # at most 3^5 rows
-    patterns = [(tuple(r[f] for f in FUNCTIONS), r.n) for r in counted]
-    schema = T.StructType([*(T.StructField(f, T.IntegerType()) for f in FUNCTIONS), T.StructField("probability", T.DoubleType())])
-    model = learn_accuracies(patterns) if patterns else (0.5, [])
+    found = cut(section_hits(docs, lexicon, most))
+    votes = found.select("id", "subject", "applicant", "source", *(level(F.col(f), F.col(f"all_{f}")).alias(f"v_{f}") for f in SECTIONS))
+    for column in FUNCTIONS[3:]:
+        votes = votes.join(key_votes(found, column).withColumnRenamed("vote", f"v_{column}"), [column, "subject"], "left")
+    names = [f"v_{f}" for f in FUNCTIONS]
+    votes = cut(votes.select("id", "subject", *(F.coalesce(c, F.lit(0)).alias(c) for c in names)))
+    counted = votes.groupBy(*names).agg(F.count("*").alias("n")).orderBy(*names).collect()  # bounded by the levels
+    patterns = [(tuple(r[c] for c in names), r.n) for r in counted]
+    schema = T.StructType([*(T.StructField(c, T.IntegerType()) for c in names), T.StructField("probability", T.DoubleType())])
+    model = learn_rates(patterns) if patterns else (0.5, [])
     table = docs.sparkSession.createDataFrame([(*v, round(posterior(v, *model), 6)) for v, _ in patterns], schema)
-    return votes.join(F.broadcast(table), list(FUNCTIONS)).select(F.col("id").alias(key), "subject", "probability", (F.col("claims") == 1).alias("in_section"))
+    return votes.join(F.broadcast(table), names).select(F.col("id").alias(key), "subject", "probability")
 
 
 def subjects_found(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    return assign(docs, labels, key).filter("probability >= 0.5 and in_section").select(key, "subject")
+    return assign(docs, labels, key).filter("probability >= 0.5").select(key, "subject")
 
 
 def composition(docs: DataFrame, labels: DataFrame, areas: DataFrame, key: str = "doc_id") -> DataFrame:
