@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,13 @@ def test_alike(spark, a, b):
     assert lookalike.canonical(a) == lookalike.canonical(b)
 
 
+def test_hot_copies_with_one_odd_spelling(spark):
+    """Many copies of one string cost no pairs among themselves."""
+    df = spark.range(100_000).select(F.col("id").alias("row_id"), F.lit(SIX).alias("text")).unionByName(spark.createDataFrame([(200_000, SIX.replace("o", "о", 1))], "row_id bigint, text string"))
+    got = lookalike.lookalike_pairs(df).agg(F.count("*"), F.max("row_id_a"), F.min("row_id_b")).first()
+    assert tuple(got) == (100_000, 99_999, 200_000)
+
+
 def test_real_differences_stay(spark):
     texts = [SIX, SIX.upper(), SIX + ".", SIX.replace(" ", "  ", 1), SIX.replace(" ", "\t", 1), SIX.replace("o", "ö", 1), "👨‍🍳 " + SIX, "👨🍳 " + SIX, "x² " + SIX, "x2 " + SIX]
     assert lookalike.lookalike_pairs(captions(spark, texts)).count() == 0
@@ -76,6 +84,15 @@ def test_copies(spark):
     assert per[0] == (4, 3) and per[8] == (2, 1) and per[3] == (1, 1) and sum(n for n, _ in per.values()) == 12
 
 
+def test_copies_of_other_scripts(spark):
+    """Texts of other scripts don't fall into one class of cheap invariants."""
+    texts = ["быстрая лиса прыгает через очень старую собаку", "БЫСТРАЯ лиса; прыгает через очень старую собаку", "собака спит", "天 地 玄 黄 宇 宙", "天、地、玄、黄、宇、宙", "日 月 盈 昃 辰 宿", "가 나 다 라 마 바", "가, 나, 다, 라, 마, 바", "ΟΔΟΣ δυο τρια τεσσερα πεντε εξι", "οδος δυο τρια τεσσερα πεντε εξι", "й и к л м н", "й и к л м н"]
+    df = captions(spark, texts)
+    assert sorted(map(tuple, copies.copies_found(df).collect())) == [(0, 1), (3, 4), (6, 7), (8, 9), (10, 11)]
+    inv = [tuple(r) for r in df.select(*copies.invariants(F.col("text"))).collect()]
+    assert len(set(inv)) == 7 and all(n > 0 for i, (n, _) in enumerate(inv) if i not in (6, 7))
+
+
 def test_copies_edges(spark):
     df = captions(spark, [SIX + " x" * 50_000, (SIX + " x" * 50_000).upper()] + [SIX] * 300)
     assert copies.copies_found(df).count() == 1 + 299
@@ -112,6 +129,16 @@ def test_languages(spark):
     assert [r.lang for r in language.wrong_labels(long, cost).collect()] == ["es"]
 
 
+def test_lines_stand_alone(spark):
+    """A line's code length doesn't depend on what stands before it; lines need no full stop; titles and formulas don't count."""
+    df = documents(spark)
+    cost = language.train(df, "doc_id", "text", "lang")
+    alone = language.Texts(pa.array([LINES["fr"]])).bits(cost)[0]
+    assert (language.Texts(pa.array([LINES["de"], "x\n" + LINES["es"] + "\n" + LINES["fr"]])).bits(cost)[3] == alone).all()
+    bare = [v.rstrip(".") for v in LINES.values()]
+    assert language.Texts(pa.array(["Some title of four words\n" + "\n".join(bare) + "\nx = a + b (one) [two] {three} <four> #1 / 2 * 3 - 4\nHEAD"])).prose.tolist() == [False, *[True] * 5, False, False]
+
+
 def test_costs_are_code_lengths(spark):
     cost = language.train(documents(spark), "doc_id", "text", "lang").astype(float)
     # With escapes, the probabilities of all symbols after a context never exceed one.
@@ -138,7 +165,7 @@ def test_every_chain_is_found_and_restored(spark):
     want = range(len(clean), len(clean) + len(bad))
     assert sorted(got) == list(want)
     assert {got[i] for i in list(want)[: len(encodings.READ_UTF8_AS) + 1]} == {"señal de café"} and got[want[-1]] == "señal"
-    assert sorted(r.row_key for r in encodings.garbled_rows(t, most=-1).collect()) == list(want)
+    assert sorted(r.row_key for r in encodings.garbled_rows(t).collect()) == list(want)
     assert encodings.garbled_rows(t.limit(0)).count() == 0
 
 
@@ -166,6 +193,8 @@ def test_packing(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").select("*", F.lit(1).alias("n"), F.lit(1).alias("piece"), F.lit(1).alias("id"))
     packs = spark.createDataFrame([("tiny", 256), ("one", 1)], "pack_name string, capacity_tokens int")
     got = packing.pack_all(df, packs).toPandas()
+    few = packing.pack(packing.token_counts(df), 256, most=50).toPandas()
+    assert not few.duplicated(["container_id", "slot"]).any() and few.groupby("container_id").n.sum().max() <= 256 and len(few) == (got.pack_name == "tiny").sum()
     count = packing.Counter(packing.vocabulary_path())
     for name, cap in (("tiny", 256), ("one", 1)):
         p = got[got.pack_name == name]
@@ -198,6 +227,17 @@ def test_removals_unite_items(spark):
     assert got == {1: ("drop", 45, [(10, 25), (45, 60), (85, 100)]), 2: ("cut", 15, [(55, 70)])}
 
 
+def test_cleaned(spark):
+    item = " ".join(f"it\u00e9m{j}" for j in range(12))
+    docs = [(1, f"Ｂefore, \u200ba\u0301b:\n{item.upper()}! After {' pad' * 60}"), (2, f"{'pad ' * 50}\u00c9t\u00e9 {item}. End, {item}"), (3, item), (4, None)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").select("*", F.lit(1).alias("spans"), F.lit(2).alias("n_removed"))
+    e = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    removed = leaks.removals(leaks.leaks(d, e), most_share=0.5)
+    got = {r.doc_id: r.text for r in leaks.cleaned(d, removed).collect()}
+    assert got == {1: f"Ｂefore, \u200ba\u0301b:\n ! After {' pad' * 60}", 2: f"{'pad ' * 50}\u00c9t\u00e9  . End,  "}
+    assert leaks.leaks(d, e).join(spark.createDataFrame([tuple(r) for r in leaks.cleaned(d, removed).select("doc_id", "text").collect()], "doc_id bigint, after string"), "doc_id").count() == 2
+
+
 def test_leaks(spark):
     rng = random.Random(1)
     vocab = [f"w{i}" for i in range(30)]
@@ -250,6 +290,13 @@ def test_subjects(spark):
         got[r.doc_id].add(r.subject)
     assert all(got[i] == {"food" if i % 2 else "sport"} for i in range(60))
     assert got[100] == {"food", "sport"} and got[101] == {"sport"} and got[105] == {"sport"} and not got[102] and not got[103] and not got[104]
+    args = (d.select(F.col("doc_id").alias("id"), "text", "applicant", "source").filter("length(text) > 0"), spark.createDataFrame([("dough", "food"), ("net", "sport"), ("ball", "sport")], subjects.LEXICON))
+    assert sorted(map(tuple, subjects.section_hits(*args).collect())) == sorted(map(tuple, subjects.section_hits(*args, most=0).collect()))
+    # The model decides: among these documents a mention in the description is no evidence, and votes alone would say otherwise.
+    votes = [((9, 9, 3, 0, 0), 60), ((3, 3, 9, 0, 0), 40), ((9, 1, 1, 0, 0), 1)]
+    prior, rates = subjects.learn_rates(votes)
+    p = [subjects.posterior(v, prior, rates) for v, _ in votes]
+    assert p[0] > 0.9 and p[1] < 0.1 and rates[2][9][0] < rates[2][9][1]
     areas = spark.createDataFrame([("food",), ("law",)], "subject string")
     assert {r.subject: r.n_docs for r in subjects.composition(d, lab, areas).collect()} == {"food": 31, "law": 0}
     assert subjects.subjects_found(d.limit(0), lab).count() == 0 and subjects.subjects_found(d, lab.limit(0)).count() == 0

@@ -11,10 +11,13 @@ are copies; ties go to the smallest id; texts of any length are keyed whole; oth
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecquarry.llm.lookalike import LOOKALIKES, WORD, canonical_texts, mapping
+from vecquarry.llm.lookalike import LOOKALIKES, WORD, canonical_texts, mapping, text_id
+from vecquarry.session import cut
 
 FIELD = r"([\p{L}\p{N}]+)\s*[:=]"
 
@@ -33,23 +36,33 @@ def fold(canon: Column) -> Column:
 
 def _cheap_map() -> tuple[str, str, list[tuple[str, str]]]:
     """One-to-one part of the look-alike mapping on base letters only, and the ligatures."""
-    one, more = dict(zip(*_closure(), strict=True)), []
+    one, more = dict(zip(*_closure(), strict=True)) | {"ς": "σ"}, []
     for k, v in mapping().items():
-        base = "".join(c for c in v if c.isascii() and c.isalnum())
-        if len(base) == 1 and not ("À" <= k and v == k):
-            one[k] = base
-        elif len(base) > 1:
+        base = "".join(c for c in v if unicodedata.category(c)[0] in "LN")
+        if len(base) == 1 and base != k:
+            one[k] = _closed(base)
+        elif len(base) > 1 and "ﬀ" <= k <= "ﬆ":
             more.append((k, base))
     return "".join(one), "".join(one.values()), more
 
 
+def _closed(c: str) -> str:
+    src, dst = _closure()
+    low = c.lower() if len(c.lower()) == 1 else c
+    return low.translate(str.maketrans(src, dst)) if low in src else c
+
+
+#: Marks stand apart in one spelling and within letters in another; so do the parts of Hangul syllables, whose letters don't count here.
+NO_LETTER = "[^\\p{L}\\p{N}]|[\\u1100-\\u11ff\\u3130-\\u318f\\ua960-\\ua97f\\uac00-\\ud7ff\\uffa0-\\uffdc]"
+
+
 def invariants(text: Column) -> list[Column]:
-    """Stripped length and letter histogram over a-z and 0-9, after the cheap part of the mapping."""
+    """Stripped length and letter histogram over the letters and digits of all scripts, after the cheap part of the mapping."""
     src, dst, more = _cheap_map()
     s = F.translate(text, src, dst)
     for k, v in more:
-        s = F.replace(s, F.lit(k), F.lit(v)) if k in "ﬀﬁﬂﬃﬄﬅﬆ" else s
-    s = F.regexp_replace(F.lower(F.translate(F.lower(s), *_closure())), "[^a-z0-9]", "")
+        s = F.replace(s, F.lit(k), F.lit(v))
+    s = F.regexp_replace(F.translate(F.lower(F.translate(F.lower(s), src, dst)), *_closure()), NO_LETTER, "")
     return [F.length(s).alias("inv_len"), F.xxhash64(F.array_sort(F.split(s, ""))).alias("inv_hist")]
 
 
@@ -67,46 +80,52 @@ def field_key(folded: Column) -> Column:
     return F.when(only, F.array_join(pairs, ";"))
 
 
-def normal_forms(df: DataFrame, text: str = "text") -> DataFrame:
-    """``text, words, fields, normal`` of the distinct texts: the costly keys.
+def normal_forms(df: DataFrame, text: str = "text", seq: bool = False) -> DataFrame:
+    """``h1, h2, n_words, k1, k2, listed`` of the distinct texts (128 bits each for the text and its normal form): the
+    costly keys, and whether the normal form is a field list; with ``seq`` also the words, joined by blanks.
 
-    ``normal`` is the sorted field list where the text, or another text with the same words in the same order, is a
+    The normal form is the sorted field list where the text, or another text with the same words in the same order, is a
     list of named fields; else the word sequence.
     """
     canon = canonical_texts(df, text).withColumn("f", fold(F.col("canon")))
-    keyed = canon.select(F.col(text), words(F.col("f")).alias("words"), field_key(F.col("f")).alias("fields"))
-    keyed = keyed.withColumn("seq", F.array_join("words", " "))
-    w = Window.partitionBy("seq")
-    return keyed.withColumn("fields", F.max("fields").over(w)).select(text, "words", "fields", F.coalesce(F.concat(F.lit("\x01"), "fields"), "seq").alias("normal"))
+    keyed = canon.select(*(c.alias(n) for c, n in zip(text_id(F.col(text)), ("h1", "h2"), strict=True)), words(F.col("f")).alias("w"), field_key(F.col("f")).alias("fields"))
+    s1, s2 = text_id(F.array_join("w", " "))
+    f1, f2 = text_id(F.concat(F.lit("\x01"), "fields"))
+    keyed = cut(keyed.select("h1", "h2", F.size("w").alias("n_words"), *([F.array_join("w", " ").alias("seq")] if seq else []), s1.alias("s1"), s2.alias("s2"), F.when(F.col("fields").isNotNull(), F.struct(f1.alias("f1"), f2.alias("f2"))).alias("fields")))
+    # Where some text of a word sequence is a list of fields, all of them are.
+    listed = keyed.filter("fields is not null").groupBy("s1", "s2").agg(F.max("fields").alias("of"))
+    named = keyed.join(listed, ["s1", "s2"], "left")
+    return named.select("h1", "h2", "n_words", F.coalesce("of.f1", "s1").alias("k1"), F.coalesce("of.f2", "s2").alias("k2"), F.col("of").isNotNull().alias("listed"), *(["seq"] if seq else []))
 
 
 def copy_classes(df: DataFrame, key: str = "row_id", text: str = "text", min_words: int = 0) -> DataFrame:
-    """One row for each distinct text: ``text, keep_<key>, n_copies`` of its class, and ``n_rows`` of its own copies."""
+    """One row for each distinct text: ``h1, h2`` (128 bits of it), ``keep_<key>, n_copies`` of its class, and ``n_rows`` of its
+    own copies. Classes are aggregates that are joined back, so no task holds one."""
+    h1, h2 = text_id(F.col(text))
     texts = df.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).groupBy(text).agg(F.min(key).alias("first"), F.count("*").alias("n_rows"))
-    inv = texts.select("*", *invariants(F.col(text)))
-    inv = inv.withColumn("members", F.count("*").over(Window.partitionBy("inv_len", "inv_hist")))
-    several = inv.filter("members > 1").select(text, "first", "n_rows")
-    forms = normal_forms(several, text)
-    joined = several.join(forms.select(text, "normal", "words"), text)
-    w = Window.partitionBy("normal")
-    refined = joined.select(
-        text, "n_rows", F.min("first").over(w).alias(f"keep_{key}"), F.sum("n_rows").over(w).alias("n_copies"), F.size("words").alias("n_words")
-    )
-    single = inv.filter("members = 1")
+    inv = cut(texts.select(text, h1.alias("h1"), h2.alias("h2"), "first", "n_rows", *invariants(F.col(text))))
+    several = inv.groupBy("inv_len", "inv_hist").agg(F.count("*").alias("n")).filter("n > 1").select("inv_len", "inv_hist")
+    marked = inv.join(several.withColumn("several", F.lit(True)), ["inv_len", "inv_hist"], "left")
+    many, single = marked.filter("several"), marked.filter("several is null")
+    light = cut(many.select("h1", "h2", "first", "n_rows").join(normal_forms(many, text), ["h1", "h2"]))
+    classes = light.groupBy("k1", "k2").agg(F.min("first").alias(f"keep_{key}"), F.sum("n_rows").alias("n_copies"))
+    refined = light.join(classes, ["k1", "k2"]).select("h1", "h2", "n_rows", f"keep_{key}", "n_copies", "n_words")
     if min_words:
         # A class of one text matters only where the text itself repeats; its words are counted on its canonical form.
-        counted = canonical_texts(single.filter("n_rows > 1"), text).select(text, F.regexp_count("canon", F.lit(WORD)).alias("n_words"))
-        single = single.filter("n_rows > 1").join(counted, text)
+        single = single.filter("n_rows > 1")
+        counted = canonical_texts(single, text).select(*(c.alias(n) for c, n in zip(text_id(F.col(text)), ("h1", "h2"), strict=True)), F.regexp_count("canon", F.lit(WORD)).alias("n_words"))
+        single = single.join(counted, ["h1", "h2"])
     else:
         single = single.withColumn("n_words", F.lit(0))
-    single = single.select(text, "n_rows", F.col("first").alias(f"keep_{key}"), F.col("n_rows").alias("n_copies"), "n_words")
+    single = single.select("h1", "h2", "n_rows", F.col("first").alias(f"keep_{key}"), F.col("n_rows").alias("n_copies"), "n_words")
     return refined.unionByName(single).filter(F.col("n_words") >= min_words).drop("n_words")
 
 
 def copies_found(df: DataFrame, key: str = "row_id", text: str = "text", min_words: int = 6) -> DataFrame:
     """``keep_<key>, <key>``: each row that is a copy of an earlier one, with the smallest id of its class."""
-    classes = copy_classes(df, key, text, min_words).filter("n_copies > 1").select(text, f"keep_{key}")
-    rows = df.select(key, text).join(classes, text)
+    classes = copy_classes(df, key, text, min_words).filter("n_copies > 1").select("h1", "h2", f"keep_{key}")
+    h1, h2 = text_id(F.col(text))
+    rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias(key), h1.alias("h1"), h2.alias("h2")).join(classes, ["h1", "h2"])
     return rows.filter(F.col(key) != F.col(f"keep_{key}")).select(f"keep_{key}", key)
 
 

@@ -9,7 +9,7 @@ The trees are fitted on at most ``sample`` labelled documents (lowest hash of th
 documents and whole texts.
 
 Defined results: rows without a key, null and empty texts, and texts without a line of prose, give no rows; a line of fewer than
-``min_words`` words, a heading, title or formula is not scored; a line whose best language is not clearly better than
+``min_words`` words, a title (the first of several lines, unless it ends as a sentence) or formula (fewer letters than other signs) is not scored; a line whose best language is not clearly better than
 the document's main one counts as the main one; equal code lengths go to the language first in ``LANGS``.
 """
 
@@ -86,16 +86,21 @@ class Texts:
         for _ in range(4):  # line ends and blanks at the end
             blank = (last > self.start) & np.isin(self.raw[last], (10, 13, 32, 9))
             last = last - blank
-        first = self.raw[self.start]
-        numbered = (first == 91) | ((first >= 48) & (first <= 57))
-        self.prose = (words >= min_words) & (np.isin(self.raw[last], (46, 33, 63)) | numbered)
+        letters, inked = (np.add.reduceat(x.astype(np.int32), self.start) for x in (letter, ~np.isin(self.raw, (9, 10, 13, 32))))
+        # The first of several lines is a title unless it ends as a sentence; formulas are mostly no letters.
+        several = np.bincount(self.doc, minlength=len(self.offsets) - 1)[self.doc] > 1
+        title = several & np.r_[True, self.doc[1:] != self.doc[:-1]] & ~np.isin(self.raw[last], (46, 33, 63))
+        self.prose = (words >= min_words) & (2 * letters >= inked) & ~title
 
     def grams(self, order: int) -> np.ndarray:
-        """The number of the ``order`` symbols that end at each byte."""
+        """The number of the ``order`` symbols that end at each byte; before a line stands nothing."""
         out = np.zeros(len(self.sym), np.int32)
         for i in range(order - 1, -1, -1):
             shifted = np.zeros(len(self.sym), np.uint8)
             shifted[i:] = self.sym[: len(self.sym) - i]
+            for j in range(i):
+                at = self.start + j
+                shifted[at[at < self.end]] = 0
             out = out * np.int32(SYMBOLS) + shifted
         return out
 
@@ -140,7 +145,9 @@ def fit(texts: Texts, label: np.ndarray) -> np.ndarray:
 
 def train(df: DataFrame, key: str, text: str, lang: str, sample: int = 2000) -> np.ndarray:
     known = df.select(F.col(key).alias("id"), F.col(text).alias("text"), normal_label(F.col(lang)).alias("lang")).filter("lang is not null and length(text) > 0")
-    rows = known.orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    # Ids are sorted, and only the texts of the sample are fetched; a repeated id brings all its rows.
+    few = known.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+    rows = known.join(F.broadcast(few), "id").select("text", "lang").toArrow()
     texts = Texts(rows.column("text"))
     label = np.array([LANGS.index(x) for x in rows.column("lang").to_pylist()], int)
     model = fit(texts, label[texts.doc])

@@ -60,6 +60,30 @@ class Folding:
     def words(self, text: str) -> list[str]:
         return [self.word(w) for w in self.split(text)]
 
+    def places(self, text: str) -> list[tuple[int, int]]:
+        """Where the words of ``split`` begin and end in the text."""
+        if text.isascii():
+            return [m.span() for m in WORDS.finditer(text)]
+        # Character by character, so that a place in the folded text leads back; marks belong to the letter before them.
+        within = self.within.search(text) is not None
+        out, at = [], []
+        for i, c in enumerate(text):
+            piece = c.translate(self.table).lower().translate(self.closure) if within else c.lower()
+            out.append(piece)
+            at += [i] * len(piece)
+        at.append(len(text))
+        folded = "".join(out)
+        if within:
+            kept = [j for j, c in enumerate(folded) if not unicodedata.combining(c)]
+            folded, at = "".join(folded[j] for j in kept), [at[j] for j in kept] + [len(text)]
+        spans = []
+        for m in WORDS.finditer(folded):
+            begin, end = at[m.start()], at[m.end() - 1] + 1
+            while end < len(text) and (unicodedata.combining(text[end]) or text[end] in INVISIBLE):
+                end += 1
+            spans.append((begin, end))
+        return spans
+
 
 class Numbers(dict):
     """Word -> number in a vocabulary, -1 for others; folds a word the first time it is seen."""
@@ -207,7 +231,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 def removals(found: DataFrame, key: str = "doc_id", most_words: int = 50, most_share: float = 0.2) -> DataFrame:
     """What to do with each leaking document: drop it beyond a limit of length or coverage, else cut its passages.
 
-    ``spans`` are its passages, united over all items, as in ``leaks``; ``covered`` are the words in them."""
+    ``spans`` are its passages, united over all items, as in ``leaks``; ``covered`` are the words in them. ``cleaned`` cuts them."""
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
     per = found.groupBy(key).agg(F.max("longest").alias("longest"), F.max("n_words").alias("n_words"), F.count("*").alias("n_items"), spans.alias("spans"))
 
@@ -222,3 +246,26 @@ def removals(found: DataFrame, key: str = "doc_id", most_words: int = 50, most_s
     share = F.round(F.col("covered") / F.col("n_words"), 6)
     action = F.when((F.col("longest") > most_words) | (share > most_share), "drop").otherwise("cut")
     return per.select(key, "n_items", "longest", "covered", share.alias("share"), action.alias("action"), "spans")
+
+
+def cleaned(docs: DataFrame, removed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``<key>, text, n_removed``: every leaking document that stays (``removals`` says "cut"), without its passages. A blank
+    stands in the place of a passage; what is left of the text is unchanged."""
+    spans = removed.filter("action = 'cut'").select(key, "spans", F.col("covered").alias("n_removed"))
+    rows = docs.filter(F.col(key).isNotNull()).select(key, F.col(text).alias("text")).filter("length(text) > 0").join(spans, key)
+
+    def run(batches):
+        fold = Folding()
+        for b in batches:
+            out = []
+            for body, passages in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                at, kept, done = fold.places(body), [], 0
+                for p in passages:
+                    begin, end = at[min(p["begin"], len(at) - 1)][0], at[min(p["end"], len(at)) - 1][1]
+                    kept.append(body[done:begin])
+                    done = end
+                out.append(" ".join([*kept, body[done:]]))
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(out, pa.string()), b.column("n_removed")], names=[key, "text", "n_removed"])
+
+    schema = T.StructType([docs.schema[key], T.StructField("text", T.StringType()), T.StructField("n_removed", T.IntegerType())])
+    return rows.mapInArrow(run, schema)

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vecquarry.session import cut
+
 # Letters of other scripts that look like a Latin letter.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X",
@@ -60,7 +62,7 @@ def _map_char(ch: str) -> str:
 def mapping() -> dict[str, str]:
     """Characters that change, and what they become. Hangul syllables are left whole."""
     out = {}
-    for cp in range(0x80, 0x20000):
+    for cp in (*range(0x80, 0x20000), *range(0x2F800, 0x2FA1E)):
         if 0xAC00 <= cp <= 0xD7A3 or 0xD800 <= cp <= 0xDFFF:
             continue
         if (to := _map_char(chr(cp))) != chr(cp):
@@ -145,19 +147,27 @@ def canonical_rows(df: DataFrame, key: str, text: str = "text", out: str = "cano
     return rows.join(canonical_texts(rows, text, out), text).select(key, text, out)
 
 
+def text_id(text: Column) -> list[Column]:
+    """128 bits for a text, as two columns."""
+    return [F.xxhash64(text), F.xxhash64(F.lit("t"), text)]
+
+
 def lookalike_pairs(df: DataFrame, key: str = "row_id", text: str = "text", min_words: int = 6) -> DataFrame:
     """Pairs of rows whose texts are different strings but look the same.
 
-    Rows are joined on the canonical form, and only forms that more than one string has enter the join, so a group of
-    identical copies alone costs one aggregated row. Ties and repeated rows give one pair for each two rows.
+    Different strings of one canonical form are paired first, and rows are listed for these pairs only, so a group of identical
+    copies costs no pair of its own. Ties and repeated rows give one pair for each two rows.
     """
     df = df.filter(F.col(key).isNotNull())
+    h1, h2 = text_id(F.col(text))
     texts = canonical_texts(df, text).filter(word_count(F.col("canon")) >= min_words)
-    several = texts.groupBy("canon").agg(F.count("*").alias("n")).filter("n > 1").select("canon")
-    texts = texts.join(several, "canon")
-    rows = df.select(F.col(key).alias("id"), F.col(text).alias(text)).join(texts, text)
-    a, b = (rows.select(F.col("id").alias(f"id_{s}"), F.col(text).alias(f"t_{s}"), "canon") for s in "ab")
-    return (
-        a.join(b, "canon").filter((F.col("id_a") < F.col("id_b")) & (F.col("t_a") != F.col("t_b")))
-        .select(F.col("id_a").alias(f"{key}_a"), F.col("id_b").alias(f"{key}_b"))
-    )
+    c1, c2 = text_id(F.col("canon"))
+    texts = texts.select(h1.alias("h1"), h2.alias("h2"), c1.alias("c1"), c2.alias("c2"))
+    several = texts.groupBy("c1", "c2").agg(F.count("*").alias("n")).filter("n > 1").select("c1", "c2")
+    texts = cut(texts.join(several, ["c1", "c2"]))
+    a, b = (texts.select("c1", "c2", F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2")) for s in "ab")
+    pairs = a.join(b, ["c1", "c2"]).filter("a1 < b1 or (a1 = b1 and a2 < b2)")
+    rows = df.select(F.col(key).alias("id"), h1.alias("h1"), h2.alias("h2")).join(texts.select("h1", "h2"), ["h1", "h2"])
+    ra, rb = (rows.select(F.col("id").alias(f"id_{s}"), F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2")) for s in "ab")
+    found = pairs.join(ra, ["a1", "a2"]).join(rb, ["b1", "b2"])
+    return found.select(F.least("id_a", "id_b").alias(f"{key}_a"), F.greatest("id_a", "id_b").alias(f"{key}_b"))

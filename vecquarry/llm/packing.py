@@ -4,8 +4,8 @@ Sizes are tokens of a public byte-pair vocabulary whose file is a parameter. Doc
 into full pieces and a rest; nothing else is cut. The histogram of piece lengths has at most ``capacity`` entries, so
 the packing is planned on the driver whatever the number of documents: lengths are placed longest first, each into the
 packs with the most free space among those it fits. The plan, a list of patterns with counts, is joined back to the
-pieces by their rank among pieces of the same length; ranks come from counts per length and salt, so a length that a
-third of all pieces have is ranked by many tasks.
+pieces by their rank among pieces of the same length; ranks come from counts per length and salt, and a length has the more
+salts the more pieces it has, so one that a third of all pieces have is ranked by many tasks.
 
 Defined results: rows without a key are left out; null and empty texts have no tokens and are left out; ties of length are ranked by id; an empty table
 gives an empty plan; extra columns are dropped.
@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,9 +81,12 @@ SIZE = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_tokens"
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """``id, n_tokens`` of every text that is neither null nor empty."""
     path = path or vocabulary_path()
+    # The file goes to every executor, wherever it lies on the driver.
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
 
     def run(batches):
-        count = Counter(path)
+        count = Counter(SparkFiles.get(name))
         for b in batches:
             n = [count(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int32())], names=SIZE.names)
@@ -157,10 +161,12 @@ PLACED = T.StructType([
 ])
 
 
-def pack(sizes: DataFrame, capacity: int, salts: int = 64) -> DataFrame:
-    """``container_id, slot, id, piece, n`` of every piece of ``id, n_tokens``."""
-    p = pieces(sizes, capacity).withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int"))
-    # At most capacity x salts counts.
+def pack(sizes: DataFrame, capacity: int, most: int = 200_000) -> DataFrame:
+    """``container_id, slot, id, piece, n`` of every piece of ``id, n_tokens``; a task ranks about ``most`` pieces at a time."""
+    p = pieces(sizes, capacity)
+    per = p.groupBy("n").agg(F.ceil(F.count("*") / most).cast("int").alias("salts"))  # at most ``capacity`` rows
+    p = p.join(F.broadcast(per), "n").withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.col("salts")).cast("int"))
+    # At most ``capacity`` counts, and one more for each ``most`` pieces.
     counts = p.groupBy("n", "salt").agg(F.count("*").alias("c")).orderBy("n", "salt").collect()
     histogram: dict[int, int] = defaultdict(int)
     offset = {}

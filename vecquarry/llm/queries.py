@@ -110,6 +110,11 @@ def p9_removals(spark: SparkSession, d: str) -> DataFrame:
     return leaks.removals(_leaks(spark, d))
 
 
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents", "doc_id", "text")
+    return leaks.cleaned(docs, leaks.removals(_leaks(spark, d)))
+
+
 def _subjects(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, d, "documents", "doc_id", "text", "applicant", "source"), table(spark, d, "subject_labels")
 
@@ -126,7 +131,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_collapsed, p2_found, p2_canonical, p3_found, p3_documents, p3_segments, p4_found, p4_restored, p5_found, p6_found, p6_fractions, p6_report, p7_found, p7_described,
-        p8_packed, p8_filled, p9_found, p9_removals, p10_found, p10_composition,
+        p8_packed, p8_filled, p9_found, p9_removals, p9_cleaned, p10_found, p10_composition,
     )
 }
 # The other queries have no twin: their searches are approximate, learned, or too slow as SQL on whole tables.
