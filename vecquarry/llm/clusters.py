@@ -2,10 +2,11 @@
 
 An approximate nearest-neighbour graph starts from the buckets of ``vechash`` and is refined by neighbour descent: every
 vector meets the neighbours of its neighbours, until fewer than one link in a hundred is new. The graph also holds links
-weaker than those of a cluster. Modularity-based community detection with several levels parts it: nodes move to the
-community where modularity gains most, communities become the nodes of the next level, until nothing moves. The
-communities are the clusters; links of at least the threshold only verify their members. Clusters are described by
-their members of the highest internal weighted degree.
+weaker than those of a cluster. Modularity-based community detection with several levels parts it: vectors join their
+nearest neighbour, then communities join the one with which modularity gains most, until no union gains. The
+communities are the clusters; links of at least the threshold only verify their members. From the second level
+on, the weight between two communities is that of all their similar pairs, estimated from typical members, because a
+vector's list holds only its nearest. Clusters are described by their members of the highest internal weighted degree.
 
 Modularity is taken within each connected component of the graph, so that a cluster doesn't depend on how many other rows
 there are (over a whole collection it merges whatever has a single link). ``resolution`` is the share of the expected
@@ -84,92 +85,91 @@ def neighbour_graph(vectors: DataFrame, codes: DataFrame, n: int, k: int = 6, le
     return ends.groupBy("a", "b").agg(F.round(F.max("w"), 6).alias("w"), F.max("near").alias("near"))
 
 
-def _moved(both: DataFrame, state: DataFrame, resolution: float, down: bool) -> DataFrame:
-    """One round of moves: ``id, k, total, com, moved``. Moves go to smaller ids of communities or to larger ones only, so two nodes
-    can't swap for ever."""
-    here = state.join(state.groupBy("com").agg(F.sum("k").alias("tot")), "com")
-    by = both.join(here.select(F.col("id").alias("to"), "com", "tot"), "to").repartition("id").groupBy("id", "com").agg(F.sum("w").alias("w"), F.first("tot").alias("tot"))
-    cand = by.join(here.select("id", "k", "total", F.col("com").alias("own"), F.col("tot").alias("tot_own")), "id")
-    share = resolution * F.col("k") / F.col("total")
-    mine, gain = F.col("com") == F.col("own"), F.round(F.col("w") - share * F.col("tot"), 9)
-    way = F.col("com") < F.col("own") if down else F.col("com") > F.col("own")
-    best = cand.groupBy("id").agg(
-        F.max(F.when(way, F.struct(gain.alias("gain"), (-F.col("com")).alias("com")))).alias("best"), F.coalesce(F.max(F.when(mine, F.col("w"))), F.lit(0.0)).alias("w"),
-        *(F.first(c).alias(c) for c in ("k", "total", "own", "tot_own")),
-    )
-    stay = F.round(F.col("w") - share * (F.col("tot_own") - F.col("k")), 9)
-    goes = F.coalesce(F.col("best.gain") > stay, F.lit(False))
-    return best.select("id", "k", "total", F.when(goes, -F.col("best.com")).otherwise(F.col("own")).alias("com"), goes.cast("int").alias("moved"))
-
-
-def _estimated(links: DataFrame, state: DataFrame, codes: DataFrame, weak: float, typical: int = 4) -> DataFrame:
-    """``id, to, w``: the weight of all similar pairs of two linked communities, estimated from their ``typical`` members of
+def _both(pairs: DataFrame, *more: str) -> DataFrame:
+    """``id, to, w`` from both ends of ``a, b, w``."""
+    a, b = (pairs.select(F.col(x).alias("id"), F.col(y).alias("to"), "w", *more) for x, y in (("a", "b"), ("b", "a")))
+    return a.unionByName(b)
+
+
+def merged(best: DataFrame) -> DataFrame:
+    """``id, com``: every node of ``id, to`` joins the one it points to, and so on; a tree is named by the smaller of the two
+    nodes that point at each other. Weights are the same from both ends and ties go to the smaller id, so there is no longer circle."""
+    back = best.select(F.col("id").alias("to"), F.col("to").alias("back"))
+    top = (F.col("back") == F.col("id")) & (F.col("id") < F.col("to"))
+    state = cut(best.join(back, "to", "left").select("id", F.when(F.coalesce(top, F.lit(False)), F.col("id")).otherwise(F.col("to")).alias("com")))
+    while True:
+        far = state.select(F.col("id").alias("com"), F.col("com").alias("far"))
+        state = cut(state.select("id", "com").join(far, "com", "left").select("id", F.coalesce("far", "com").alias("com"), F.coalesce(F.col("far") != F.col("com"), F.lit(False)).alias("moved")), instead=state)
+        if not state.filter("moved").limit(1).count():
+            return state.select("id", "com")
+
+
+def _estimated(pairs: DataFrame, named: DataFrame, codes: DataFrame, weak: float, typical: int = 4) -> DataFrame:
+    """``a, b, w``: the weight of all similar pairs of two linked communities, estimated from their ``typical`` members of
     the highest degree: the neighbour lists hold only a few links a vector, and none between two clumps of near copies."""
-    top = F.row_number().over(Window.partitionBy("com").orderBy(F.desc("k"), "id"))
-    reps = state.select("id", "com", "k").withColumn("r", top).filter(F.col("r") <= typical).join(codes, "id")
-    reps = reps.groupBy("com").agg(F.collect_list("code").alias("codes")).join(state.groupBy("com").agg(F.count("*").alias("n")), "com")
-    pairs = links.select("id", "to").distinct().filter("id < to")
-    for end in ("id", "to"):
+    linked = pairs.select(F.explode(F.array("a", "b")).alias("com")).distinct()
+    top = F.row_number().over(Window.partitionBy("com").orderBy(F.desc("degree"), "id"))
+    here = named.join(linked, "com", "left_semi")
+    reps = here.withColumn("r", top).filter(F.col("r") <= typical).join(codes, "id").groupBy("com").agg(F.collect_list("code").alias("codes"))
+    reps = reps.join(here.groupBy("com").agg(F.count("*").alias("n")), "com")
+    pairs = pairs.select("a", "b")
+    for end in ("a", "b"):
         pairs = pairs.join(reps.select(F.col("com").alias(end), F.col("codes").alias(f"c_{end}"), F.col("n").alias(f"n_{end}")), end)
 
     def run(batches):
-        for b in batches:
-            w = np.zeros(b.num_rows)
-            x, y = (b.column(c) for c in ("c_id", "c_to"))
+        for t in batches:
+            w = np.zeros(t.num_rows)
+            x, y = (t.column(c) for c in ("c_a", "c_b"))
             vx, vy = (decoded(unpacked(c.flatten())) for c in (x, y))
             ox, oy = (np.r_[0, np.cumsum(np.asarray(c.value_lengths()))] for c in (x, y))
-            for i in range(b.num_rows):
+            for i in range(t.num_rows):
                 cos = vx[ox[i] : ox[i + 1]] @ vy[oy[i] : oy[i + 1]].T
                 w[i] = np.where(cos >= weak, cos, 0).mean()
-            w = np.round(w * np.asarray(b.column("n_id")) * np.asarray(b.column("n_to")), 6)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("to"), pa.array(w)], names=["id", "to", "w"])
+            w = np.round(w * np.asarray(t.column("n_a")) * np.asarray(t.column("n_b")), 6)
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(w)], names=["a", "b", "w"])
 
-    found = pairs.mapInArrow(run, "id bigint, to bigint, w double").filter("w > 0")
-    return found.unionByName(found.select(F.col("to").alias("id"), F.col("id").alias("to"), "w"))
+    return pairs.mapInArrow(run, "a bigint, b bigint, w double").filter("w > 0")
 
 
-def communities(links: DataFrame, codes: DataFrame | None = None, resolution: float = 0.1, weak: float = 0.85, still: float = 0.01) -> DataFrame:
-    """``id, com`` of the nodes in ``a, b, w``: modularity over several levels, within each connected component.
+def communities(links: DataFrame, codes: DataFrame, resolution: float = 0.1, weak: float = 0.85) -> DataFrame:
+    """``id, com, degree`` of the nodes in ``a, b, w, near``: modularity over several levels, within each connected component.
 
-    A level ends when fewer than one node in a hundred moves in both directions; the last is the one in which none does.
-    With ``codes`` (``id, code``) the links of the first communities are weighed by ``_estimated``.
+    Vectors first join their nearest neighbour. On each further level a community joins the one with which modularity
+    gains most, if it gains, until none does. From the second level on the links are weighed by ``_estimated``.
     """
-    both = cut(links.select(F.col("a").alias("id"), F.col("b").alias("to"), "w").unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("to"), "w")))
-    part = components(links.select("a", "b"))
-
-    def weighed(k: DataFrame) -> DataFrame:
-        k = k.join(part, "id")
-        return k.join(k.groupBy("root").agg(F.sum("k").alias("total")), "root").select("id", "k", "total")
-
-    nodes = cut(weighed(both.groupBy("id").agg(F.sum("w").alias("k"))))
-    named = cut(nodes.select("id", F.col("id").alias("com")))
+    ends = _both(links, "near")
+    nodes = ends.groupBy("id").agg(F.max(F.struct("w", (-F.col("to")).alias("to"))).alias("best"), F.sum("w").alias("k"), F.round(F.coalesce(F.sum(F.when(F.col("near"), F.col("w"))), F.lit(0.0)), 6).alias("degree"))
+    nodes = cut(nodes.select("id", (-F.col("best.to")).alias("to"), "k", "degree"))
+    named = cut(nodes.join(merged(nodes.select("id", "to")), "id").select("id", "com", "k", "degree"))
+
+    def over(pairs: DataFrame, names: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(names.select(F.col("id").alias(end), F.col("com").alias(f"c{end}")), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+        pairs = pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
+        return pairs.groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("w"))
+
+    pairs = cut(over(links.select("a", "b", "w"), named))
+    part, level = components(pairs.select("a", "b")), 1
     while True:
-        n = nodes.count()
-        state, any_move, last, down = nodes.withColumn("com", F.col("id")), 0, n, True
-        while n:
-            state = cut(_moved(both, state.select("id", "k", "total", "com"), resolution, down), instead=state)
-            moved = state.agg(F.sum("moved").alias("m")).first().m or 0
-            any_move += moved
-            if max(moved, last) <= still * n:
-                break
-            last, down = moved, not down
-        if not any_move:
-            return named
-        coms = state.select("id", "com")
-        # Communities that were final before have no row on this level.
-        up = named.withColumnRenamed("com", "mid").join(coms.withColumnRenamed("id", "mid"), "mid", "left")
-        named = cut(up.select("id", F.coalesce("com", "mid").alias("com")), instead=named)
-        # Links within a community are left out of the next level: they no longer decide anything.
-        joined = both.join(coms, "id").join(coms.select(F.col("id").alias("to"), F.col("com").alias("far")), "to").filter("com != far")
-        joined = joined.groupBy(F.col("com").alias("id"), F.col("far").alias("to")).agg(F.round(F.sum("w"), 6).alias("w"))
-        both = cut(joined if codes is None else _estimated(joined, state, codes, weak), instead=both)
-        if codes is None:
-            merged = state.groupBy(F.col("com").alias("id")).agg(F.sum("k").alias("k"), F.first("total").alias("total"))
-        else:
-            within = state.groupBy(F.col("com").alias("id")).agg((F.count("*") * (F.count("*") - 1)).cast("double").alias("k"))
-            merged = weighed(within.unionByName(both.groupBy("id").agg(F.sum("w").alias("k"))).groupBy("id").agg(F.sum("k").alias("k")))
-        # Communities without a link to others are final.
-        nodes, codes = cut(merged.join(both.select("id").distinct(), "id", "left_semi"), instead=nodes), None
+        if level > 1:
+            pairs = cut(_estimated(pairs, named, codes, weak), instead=pairs)
+        if not pairs.limit(1).count():
+            return named.select("id", "com", "degree")
+        sums = named.groupBy(F.col("com").alias("id")).agg((F.count("*") * (F.count("*") - 1)).cast("double").alias("within"), F.sum("k").alias("k"))
+        if level > 1:
+            sums = sums.join(_both(pairs).groupBy("id").agg(F.sum("w").alias("w")), "id", "left").select("id", (F.col("within") + F.coalesce("w", F.lit(0.0))).alias("k"))
+        weighed = sums.join(part, "id")
+        weighed = cut(weighed.join(weighed.groupBy("root").agg(F.sum("k").alias("total")), "root").select("id", "k", "total"))
+        gain = F.round(F.col("w") - resolution * F.col("ka") * F.col("kb") / F.col("total"), 9)
+        gains = pairs.join(weighed.select(F.col("id").alias("a"), F.col("k").alias("ka"), "total"), "a").join(weighed.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+        gains = gains.select("a", "b", gain.alias("w")).filter("w > 0")
+        best = cut(_both(gains).groupBy("id").agg(F.max(F.struct("w", (-F.col("to")).alias("to"))).alias("best")).select("id", (-F.col("best.to")).alias("to")))
+        if not best.limit(1).count():
+            return named.select("id", "com", "degree")
+        joins = merged(best)
+        named = cut(named.join(joins.select(F.col("id").alias("com"), F.col("com").alias("new")), "com", "left").select("id", F.coalesce("new", "com").alias("com"), "k", "degree"), instead=named)
+        pairs = cut(over(pairs, joins), instead=pairs)
+        level += 1
 
 
 def components(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -188,11 +188,14 @@ def components(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def verified(com: DataFrame, links: DataFrame, least: float) -> DataFrame:
-    """``id, cluster``: members with a link of at least ``least`` into their community; its smallest such id names it."""
-    ends = links.filter(F.col("w") >= least).join(com.select(F.col("id").alias("a"), F.col("com").alias("ca")), "a").join(com.select(F.col("id").alias("b"), F.col("com").alias("cb")), "b")
-    inside = ends.filter("ca = cb").select(F.explode(F.array("a", "b")).alias("id"), F.col("ca").alias("com")).distinct()
-    first = inside.groupBy("com").agg(F.min("id").alias("cluster"))
-    return inside.join(first, "com").select("id", "cluster")
+    """``id, cluster, degree``: members with a link of at least ``least`` into their community; its smallest such id names it.
+    ``degree`` is the weighted degree within the community."""
+    for end in ("a", "b"):
+        links = links.join(com.select(F.col("id").alias(end), F.col("com").alias(f"c{end}")), end)
+    inside = links.filter("ca = cb").select(F.explode(F.array("a", "b")).alias("id"), F.col("ca").alias("com"), "w", "near")
+    inside = inside.groupBy("id", "com").agg(F.max("w").alias("top"), F.round(F.coalesce(F.sum(F.when(F.col("near"), F.col("w"))), F.lit(0.0)), 6).alias("degree"))
+    inside = cut(inside.filter(F.col("top") >= least).drop("top"))
+    return inside.join(inside.groupBy("com").agg(F.min("id").alias("cluster")), "com").select("id", "cluster", "degree")
 
 
 def clusters(tables: dict[str, tuple[DataFrame, str, str]], least: float = 0.90, k: int = 6, resolution: float = 0.1) -> DataFrame:
@@ -206,12 +209,7 @@ def clusters(tables: dict[str, tuple[DataFrame, str, str]], least: float = 0.90,
         nodes, rows = (v, m) if nodes is None else (nodes.unionByName(v), rows.unionByName(m))
     codes = cut(coded_vectors(nodes, "id"))
     links = cut(neighbour_graph(nodes, codes, nodes.count(), k, least))
-    com = communities(links.select("a", "b", "w"), codes, resolution)
-    named = verified(com, links, least)
-    near = links.filter("near")
-    inside = near.join(com.select(F.col("id").alias("a"), F.col("com").alias("ca")), "a").join(com.select(F.col("id").alias("b"), F.col("com").alias("cb")), "b").filter("ca = cb")
-    degree = inside.select(F.col("a").alias("id"), "w").unionByName(inside.select(F.col("b").alias("id"), "w")).groupBy("id").agg(F.round(F.sum("w"), 6).alias("degree"))
-    named = named.join(degree, "id", "left")
+    named = verified(communities(links, codes, resolution), links, least)
     full = rows.join(named, "id", "left").select("kind", "row", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("degree", F.lit(0.0)).alias("degree"))
     per = full.groupBy("cluster").agg(F.min("row").alias("first"), F.count("*").alias("size"))
     tab = F.element_at(F.array(*map(F.lit, names)), F.col("kind") + 1)
