@@ -49,21 +49,23 @@ def em_iterations(n: Column) -> Column:
     return F.least(F.lit(140), F.greatest(F.lit(60), F.round(grown).cast("int")))
 
 
-#: Recommended settings by the number of rows above which they hold, largest first.
+def _build(nlist: int, m: int, efc: int, batch: int, pack: int, **more) -> dict:
+    return {"ivf_nlist": nlist, "M_cells": nlist, "hnsw_M": m, "hnsw_efC": efc, "batch_size": batch, "C_pack": pack, **more}
+
+
+# Recommended settings by the number of rows above which they hold, largest first, under their public names.
+COCO_EVALUATION = {"eval_split": "val", "eval_topk": 10, "eval_ph": True, "eval_r5": False, "num_threads": 16}
 RECOMMENDED = {
-    "laion": [
-        (500_000, {"nlist": 2048, "cells": 2048, "hnsw_m": 32, "hnsw_efc": 200, "batch_size": 1024, "pack": 256}),
-        (100_000, {"nlist": 1024, "cells": 1024, "hnsw_m": 24, "hnsw_efc": 150, "batch_size": 512, "pack": 128}),
-        (-1, {"nlist": 512, "cells": 512, "hnsw_m": 16, "hnsw_efc": 100, "batch_size": 256, "pack": 64}),
-    ],
+    "laion": [(500_000, _build(2048, 32, 200, 1024, 256)), (100_000, _build(1024, 24, 150, 512, 128)), (-1, _build(512, 16, 100, 256, 64))],
+    "coco": [(50_000, _build(2048, 64, 400, 1024, 256, **COCO_EVALUATION)), (10_000, _build(1024, 32, 200, 512, 128, **COCO_EVALUATION)), (-1, _build(64, 16, 100, 32, 32, **COCO_EVALUATION))],
+    "flickr30k": [(50_000, _build(256, 64, 400, 1024, 128, lr=1e-3, epochs=5)), (9_999, _build(128, 32, 200, 512, 64, lr=2e-3, epochs=10)), (-1, _build(64, 16, 100, 256, 32, lr=5e-3, epochs=15))],
+    "t2i": [(-1, _build(4096, 32, 200, 8192, 256, epochs=8, lr=1e-3, budgets=tuple(range(10, 101, 10))))],
 }
 
 
 def recommended(dataset: str, n: int) -> dict:
-    for above, settings in RECOMMENDED.get(dataset, RECOMMENDED["laion"]):
-        if n > above:
-            return dict(settings)
-    return {}
+    """Settings for a data set of ``n`` rows; none for an unknown name."""
+    return next((dict(settings) for above, settings in RECOMMENDED.get(dataset, ()) if n > above), {})
 
 
 def apply_recommended(config, dataset: str, n: int):
@@ -82,3 +84,13 @@ def resolve_path(paths, dataset: str) -> str:
     if found is None:
         raise ValueError(f"no path for data set {dataset!r}")
     return found
+
+
+def head_k(candidates: Column, k_eval: Column) -> Column:
+    """Length of a search head: the number of candidates between 128 and 512, and no shorter than the evaluated list."""
+    return F.greatest(F.least(F.greatest(candidates, F.lit(128)), F.lit(512)), k_eval)
+
+
+def fit_head(ids: Column, length: int, pad: int = -1) -> Column:
+    """An array cut or padded to ``length``."""
+    return F.slice(F.concat(F.coalesce(ids, F.array().cast("array<bigint>")), F.array_repeat(F.lit(pad).cast("bigint"), length)), 1, length)

@@ -37,3 +37,13 @@ def image_path(uid: Column, listing: Column, extensions: tuple[str, ...] = (".jp
     options = F.array(*(F.concat(uid, F.lit(e)) for e in extensions))
     there = F.filter(options, lambda p: F.array_contains(listing, p))
     return F.coalesce(F.try_element_at(there, F.lit(1)), F.concat(uid, F.lit(extensions[0])))
+
+
+def parse_overrides(text: Column) -> Column:
+    """``"name=3, other:5"`` as a map of positive numbers; parts that don't fit are left out, of a repeated name the last counts."""
+    found = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][\w.-]*)\s*[=:]\s*(\d+)"), 0)
+    pairs = F.transform(found, lambda p: F.split(F.regexp_replace(p, r"\s", ""), "[=:]"))
+    entries = F.transform(pairs, lambda p: F.struct(p[0].alias("k"), p[1].cast("int").alias("v")))
+    good = F.filter(entries, lambda e: e["v"] > 0)
+    last = F.aggregate(good, F.array().cast("array<struct<k:string,v:int>>"), lambda acc, e: F.concat(F.filter(acc, lambda o: o["k"] != e["k"]), F.array(e)))
+    return F.map_from_entries(last)

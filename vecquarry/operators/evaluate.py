@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecquarry.operators import cluster, graph, ivf, knn, metrics, model, pca
+from vecquarry.session import cut
 
 
 def _ivf_index(bank: DataFrame, cells: int):
     c, labels = cluster.kmeans(bank, cells)
-    return c, bank.join(labels.select("vec_id", "cell_id"), "vec_id").persist()
+    return c, cut(bank.join(labels.select("vec_id", "cell_id"), "vec_id"))
 
 
 def _imi_index(bank: DataFrame, cells: int):
@@ -31,7 +32,7 @@ def _imi_index(bank: DataFrame, cells: int):
 BACKENDS: dict[str, tuple[Callable, Callable]] = {
     "ivf": (_ivf_index, lambda q, b, i, k, n: ivf.search(q, i[1], i[0], k, n)),
     "imi": (_imi_index, lambda q, b, i, k, n: ivf.imi_search(q, b, i[0], i[1], k, n)),
-    "graph": (lambda bank, cells: None, lambda q, b, i, k, n: graph.search(q, b, k, n, itopk=max(64, 2 * k))),
+    "graph": (lambda bank, cells: cut(graph.build(bank)), lambda q, b, i, k, n: graph.search(q, i, k, n, itopk=max(64, 2 * k))),
     "exact": (lambda bank, cells: None, lambda q, b, i, k, n: knn.exact_topk(q, b, k)),
 }
 

@@ -22,6 +22,15 @@ def pair_hit(pred: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     return pairs.join(p, ["query_id", "gt_vec_id"], "left").agg(F.lit(k).alias("k"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 9).alias("pair_hit"))
 
 
+def truth_check(found: DataFrame, truth: DataFrame, k: int, n_queries: int = 100, least: float = 0.999) -> DataFrame:
+    """``k, n_queries, recall, passed``: own exact lists against published ones, over the queries of the smallest ids."""
+    some = found.select("query_id").distinct().orderBy("query_id").limit(n_queries)
+    f, t = (df.filter(F.col("rank") <= k).join(some, "query_id").select("query_id", "vec_id") for df in (found, truth))
+    shared = f.join(t, ["query_id", "vec_id"]).agg(F.count("*").alias("shared"))
+    share = F.round(F.col("shared") / (F.col("n_queries") * k), 9)
+    return shared.crossJoin(some.agg(F.count("*").cast("int").alias("n_queries"))).select(F.lit(k).alias("k"), "n_queries", share.alias("recall"), (share >= least).alias("passed"))
+
+
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
 

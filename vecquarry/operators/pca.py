@@ -99,3 +99,17 @@ def cosine_retention(bank: DataFrame, w: np.ndarray, dims: list[int]) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(np.array(dims, np.int32)), pa.array(sums), pa.array(np.full(len(dims), n))], names=schema.names)
 
     return bank.select("e").mapInArrow(run, schema).groupBy("dim").agg(F.round(F.sum("s") / F.sum("n"), 9).alias("retention"))
+
+
+def save(spark, path: str, w: np.ndarray, mu: np.ndarray | None, center: bool) -> None:
+    """A fitted rotation as a table: one row for each direction, and one (-1) for the mean if there is one."""
+    rows = [(i, [float(x) for x in row], center) for i, row in enumerate(w)] + ([(-1, [float(x) for x in np.ravel(mu)], center)] if mu is not None else [])
+    spark.createDataFrame(rows, "direction int, w array<double>, center_for_fit boolean").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> tuple[np.ndarray, np.ndarray | None, bool]:
+    """Directions, mean and ``center_for_fit`` of a stored rotation."""
+    rows = sorted(spark.read.parquet(path).collect(), key=lambda r: r.direction)  # as many rows as kept directions
+    w = np.array([r.w for r in rows if r.direction >= 0])
+    mu = next((np.array(r.w) for r in rows if r.direction < 0), None)
+    return w, mu, bool(rows and rows[0].center_for_fit)

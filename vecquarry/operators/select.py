@@ -33,6 +33,23 @@ def generalization_checkpoint(scores: DataFrame, self_backend: str | None, other
     return v.withColumn("r", F.row_number().over(w)).filter("r = 1").select(*by, F.col("variant").alias("chosen"), "value", F.col("any_ok").alias("constrained"))
 
 
+#: Simplified names of backends, and the other backend that a checkpoint should generalise to.
+BACKENDS = {"cagra": "cuvs_cagra", "cagra_only": "cuvs_cagra", "ivf": "ivf", "ivf_only": "ivf", "exact_k": "exact_k"}
+OTHER = {"cuvs_cagra": "ivf", "ivf": "cuvs_cagra", "exact_k": "ivf"}
+
+
+def selection_summary(scores: DataFrame, backend: str, *by: str) -> DataFrame:
+    """``by..., mode, chosen, value``: the best and the generalising checkpoint of a backend; only the latter for ``exact_k``."""
+    own = BACKENDS.get(backend, backend)
+    exact = own == "exact_k"
+    general = generalization_checkpoint(scores, None if exact else own, OTHER.get(own, "ivf"), *by)
+    out = general.select(*by, F.lit("generalization").alias("mode"), "chosen", "value")
+    if exact:
+        return out
+    best = best_checkpoint(scores.filter(F.col("backend") == own).select(*by, "variant", "weighted_recall"), *by)
+    return best.select(*by, F.lit("best").alias("mode"), F.col("best_variant").alias("chosen"), F.col("weighted_recall").alias("value")).unionByName(out)
+
+
 def best_config(trials: DataFrame, *by: str) -> DataFrame:
     """Of build settings the one of best recall, then speed, then number."""
     w = Window.partitionBy(*by).orderBy(F.desc("recall"), F.desc("qps"), "config_id")
@@ -85,3 +102,11 @@ def overlap_labels(base: DataFrame, projected: DataFrame) -> DataFrame:
 def pending(experiments: DataFrame, done: DataFrame, *key: str) -> DataFrame:
     """Experiments without a result yet."""
     return experiments.join(done, list(key), "left_anti")
+
+
+def shown(hits: DataFrame, n: int, last: bool = False) -> DataFrame:
+    """Of each query's hits the first ``n`` ranks, or the ``last`` n of them."""
+    if not last:
+        return hits.filter(F.col("rank") <= n)
+    deep = hits.groupBy("query_id").agg(F.max("rank").alias("_deep"))
+    return hits.join(deep, "query_id").filter(F.col("rank") > F.col("_deep") - n).drop("_deep")

@@ -5,12 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecquarry.operators.splits import global_rank
+
+#: Rows of a series that one task works on.
+BLOCK = 100_000
+
+
+def blocks(df: DataFrame, before: int, after: int, size: int = BLOCK) -> DataFrame:
+    """``df`` with the place ``r`` of a row in its series, its length ``n``, and ``block``; each block also has the ``before`` rows
+    ahead of it and the ``after`` behind it, not ``own``. Windows by series and block see what windows by series would,
+    however long a series is."""
+    ranked = global_rank(df.withColumn("_tie", F.xxhash64(*df.columns)), "series", "i", "_tie").drop("_tie")
+    ends = ranked.groupBy("series").agg(F.min("rank").alias("low"), F.count("*").alias("n"))
+    r = ranked.join(ends, "series").withColumn("r", F.col("rank") - F.col("low") + 1).drop("rank", "low")
+    first, last = (F.floor((F.greatest(F.lit(1), F.least("n", F.col("r") + d)) - 1) / size) for d in (-after, before))
+    return r.withColumn("block", F.explode(F.sequence(first, last))).withColumn("own", F.floor((F.col("r") - 1) / size) == F.col("block"))
+
+
+_W = ("series", "block")
+
 
 def stats(df: DataFrame, last: int = 100) -> DataFrame:
     """Initial, final, extremes, mean, deviation, improvement, and the mean step over the last values (0 if too few)."""
-    w = Window.partitionBy("series").orderBy("i")
-    back = Window.partitionBy("series").orderBy(F.desc("i"))
-    s = df.withColumn("step", F.col("value") - F.lag("value").over(w)).withColumn("back", F.row_number().over(back))
+    s = blocks(df, 1, 0).withColumn("step", F.col("value") - F.lag("value").over(Window.partitionBy(*_W).orderBy("r")))
+    s = s.filter("own").withColumn("back", F.col("n") - F.col("r") + 1)
     per = s.groupBy("series").agg(
         F.count("*").alias("n"), F.min_by("value", "i").alias("initial"), F.max_by("value", "i").alias("final"), F.min("value").alias("lo"), F.max("value").alias("hi"),
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.avg(F.when(F.col("back") < last, F.col("step"))).alias("rate"),
@@ -42,22 +60,21 @@ def epoch_means(df: DataFrame) -> DataFrame:
 
 def moving_average(df: DataFrame, window: int = 50) -> DataFrame:
     """Centred box average; beyond the ends the nearest value counts; shorter series stay as they are."""
-    w = Window.partitionBy("series").orderBy("i")
-    all_rows = Window.partitionBy("series")
     lo, hi = window // 2, window - window // 2 - 1
-    n, r = F.count("*").over(all_rows), F.row_number().over(w)
-    box = w.rowsBetween(-lo, hi)
-    first, last = F.first("value").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.last("value").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = blocks(df, lo, hi).join(df.groupBy("series").agg(F.min_by("value", "i").alias("first"), F.max_by("value", "i").alias("last")), "series")
+    box = Window.partitionBy(*_W).orderBy("r").rowsBetween(-lo, hi)
+    n, r = F.col("n"), F.col("r")
     before, after = F.greatest(F.lit(0), F.lit(lo + 1) - r), F.greatest(F.lit(0), r + hi - n)
-    value = (F.sum("value").over(box) + before * first + after * last) / window
-    return df.select("series", "i", F.round(F.when(n < window, F.col("value")).otherwise(value), 6).alias("smoothed"))
+    value = (F.sum("value").over(box) + before * F.col("first") + after * F.col("last")) / window
+    smooth = rows.withColumn("smoothed", F.round(F.when(n < window, F.col("value")).otherwise(value), 6))
+    return smooth.filter("own").select("series", "i", "smoothed")
 
 
 def improvements(df: DataFrame) -> DataFrame:
     """Improvement since the first value, and over the value before."""
-    w = Window.partitionBy("series").orderBy("i")
-    first = F.first("value").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return df.select("series", "i", F.round(first - F.col("value"), 6).alias("cumulative"), F.round(F.lag("value").over(w) - F.col("value"), 6).alias("step"))
+    rows = blocks(df, 1, 0).join(df.groupBy("series").agg(F.min_by("value", "i").alias("first")), "series")
+    before = F.lag("value").over(Window.partitionBy(*_W).orderBy("r"))
+    return rows.select("series", "i", F.round(F.col("first") - F.col("value"), 6).alias("cumulative"), F.round(before - F.col("value"), 6).alias("step"), "own").filter("own").drop("own")
 
 
 def enabled(df: DataFrame, weights: DataFrame) -> DataFrame:

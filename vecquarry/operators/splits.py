@@ -5,20 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecquarry.session import cut
+
 
 def hash_order(key: Column, seed: int = 0) -> Column:
     """A pseudo-random order that any engine with md5 reproduces."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
+def global_rank(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``rank``, from 1 in the order of columns that no two rows share: a range-partitioned sort and the sizes of
+    the partitions before. No task holds more than its range."""
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n")).collect()  # one row for each partition
+    before, rows = 0, []
+    for r in sorted(sizes, key=lambda r: r["_part"]):
+        rows.append((r["_part"], before))
+        before += r.n
+    offsets = df.sparkSession.createDataFrame(rows, "_part bigint, _before bigint")
+    ranked = placed.join(F.broadcast(offsets), "_part")
+    return ranked.withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_before")
+
+
 def permutation_split(df: DataFrame, key: str, up_to: int, n_queries: int, seed: int = 0) -> DataFrame:
     """``<key>, split``: the first ``up_to`` of the permutation are train and the next ``n_queries`` val; where rows are
-    short, train gives way; other rows are left out. Ranks come from a range-partitioned sort."""
+    short, train gives way; other rows are left out."""
     n = df.count()
     up_to = min(up_to, max(0, n - n_queries))
-    h = hash_order(F.col(key), seed)
-    ranked = df.select(key, h.alias("h")).withColumn("r", F.row_number().over(Window.orderBy("h", key)))
-    return ranked.filter(F.col("r") <= up_to + n_queries).select(key, F.when(F.col("r") <= up_to, "train").otherwise("val").alias("split"))
+    ranked = global_rank(df.select(key, hash_order(F.col(key), seed).alias("h")), "h", key)
+    return ranked.filter(F.col("rank") <= up_to + n_queries).select(key, F.when(F.col("rank") <= up_to, "train").otherwise("val").alias("split"))
+
+
+def four_way(captions: DataFrame, held_out: DataFrame, group: str, key: str, caption: str, n_val: int = 10_000, n_test: int = 10_000, n_inbound: int = 10_000, seed: int = 0) -> DataFrame:
+    """``split, <group>, <key>, caption, pair``: train, val, test and inbound of rows ``group (image), key, caption``.
+
+    train: one caption of each image; val: for up to ``n_val`` of these images another caption than the one in train (that one
+    where there is no other), paired with the train image; test and inbound: one caption of each of up to so many images of
+    ``held_out``, test paired with its own image, inbound asked against the images of train and without a pair.
+    Raises if an image is on both sides.
+    """
+    if captions.select(group).join(held_out.select(group), group, "left_semi").limit(1).count():
+        raise ValueError("held-out images also stand in train")
+    train = one_caption(captions, group, key, caption, seed)
+    other = captions.filter(usable(F.col(caption))).join(train.select(group, F.col(caption).alias("_own")), group).filter(F.col(caption) != F.col("_own"))
+    other = one_caption(other, group, key, caption, seed + 1)
+
+    def some(df: DataFrame, n: int, s: int) -> DataFrame:
+        return df.orderBy(hash_order(F.col(group), s), group).limit(n)
+
+    picked = some(train, n_val, seed + 2)
+    val = picked.join(other.select(group, F.col(key).alias("_k"), F.col(caption).alias("_c")), group, "left").select(group, F.coalesce("_k", key).alias(key), F.coalesce("_c", caption).alias(caption))
+    out = one_caption(held_out, group, key, caption, seed)
+    parts = (("train", train, True), ("val", val, True), ("test", some(out, n_test, seed + 3), True), ("inbound", some(out, n_inbound, seed + 4), False))
+    rows = None
+    for name, df, paired in parts:
+        pair = F.col(group) if paired else F.lit(None).cast(df.schema[group].dataType)
+        part = df.select(F.lit(name).alias("split"), group, key, F.col(caption).alias("caption"), pair.alias("pair"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:

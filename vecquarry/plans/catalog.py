@@ -5,6 +5,8 @@ Searches take every row whose id is divisible by 50 as a query, against all othe
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from vecquarry.functions import heuristics as H
 from vecquarry.functions import text as TX
 from vecquarry.functions import vec as V
 from vecquarry.operators import cluster, dist, evaluate, graph, ivf, knn, loss, metrics, model, pca, select, series, splits, teacher
-from vecquarry.session import table
+from vecquarry.session import checkpoint_dir, cut, table
 
 K, CELLS, DIM = 10, 16, 64
 QUERIES: dict = {}
@@ -304,15 +306,20 @@ def imi_topk(spark, d):
     return ivf.imi_search(asked(b), b, s[:, : DIM // 2], s[:, DIM // 2 :], K, 6)
 
 
-@query()
+@query(
+    f"WITH {N}, p AS (SELECT a.vec_id, b.vec_id nn, round(list_inner_product(a.e, b.e), 9) s FROM n a JOIN n b ON a.vec_id <> b.vec_id), k AS (SELECT vec_id, nn, s FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, nn) r FROM p) WHERE r <= 64), "
+    "u AS (SELECT vec_id, nn, s FROM k UNION SELECT nn, vec_id, s FROM k) SELECT 0::INTEGER shard, vec_id, nn, r::INTEGER r FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, nn) r FROM u) WHERE r <= 32"
+)
 def graph_index(spark, d):
-    return graph.build(bank(spark, d))
+    """In long form; up to ``graph.EXACT`` vectors of a shard have exact lists."""
+    g = graph.build(bank(spark, d))
+    return g.select("shard", "vec_id", F.posexplode("out").alias("r", "nn")).select("shard", "vec_id", "nn", (F.col("r") + 1).alias("r"))
 
 
 @query()
 def graph_topk(spark, d):
     b = bank(spark, d)
-    return graph.search(asked(b), b, K, iterations=64, itopk=64, exclude_self=True)
+    return graph.search(asked(b), cut(graph.build(b)), K, iterations=64, itopk=64, exclude_self=True)
 
 
 # ---------------------------------------------------------------- metrics
@@ -347,35 +354,45 @@ TEACH = (
 )
 
 
-def pack(spark, d):
-    return teacher.mixed_pack(exact(spark, d), student(spark, d), 8, K, 12)
-
+class Lists:
+    """Exact and student lists of a query, searched once, and what is made of them."""
 
-def teachers(spark, d):
-    p, e = pack(spark, d), exact(spark, d, 5)
-    ann = teacher.ann_teacher(teacher.head_scores(p, student(spark, d)))
-    ranked = teacher.ranked_teacher(p, e)
-    return {"uniform": teacher.uniform_teacher(p, e), "ranked": ranked, "ann": ann, "mixed": teacher.mixed_teacher(ann, ranked, 0.9)}
+    def __init__(self, spark, d):
+        b = bank(spark, d)
+        asks = asked(b).select("query_id", "e", F.lit(0).alias("m")).unionByName(moved(b).select("query_id", "e", F.lit(1).alias("m")))
+        # Both variants in one pass over the bank: the variant is the lowest bit of the query's number.
+        hits = knn.exact_topk(asks.select((F.col("query_id") * 2 + F.col("m")).alias("query_id"), "e"), b, K + 1)
+        hits = hits.select(F.floor(F.col("query_id") / 2).alias("query_id"), "vec_id", "score", (F.col("query_id") % 2).alias("m")).filter("vec_id != query_id")
+        w = Window.partitionBy("m", "query_id").orderBy(F.desc("score"), "vec_id")
+        hits = cut(hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= K))
+        self.bank, self.moved = b, moved(b)
+        self.exact, self.student = (hits.filter(F.col("m") == i).select("query_id", "rank", "vec_id", "score") for i in (0, 1))
+        self.pack = cut(teacher.mixed_pack(self.exact, self.student, 8, K, 12))
 
+    def teachers(self):
+        p, e = self.pack, self.exact.filter("rank <= 5")
+        ann = teacher.ann_teacher(teacher.head_scores(p, self.student))
+        ranked = teacher.ranked_teacher(p, e)
+        return {"uniform": teacher.uniform_teacher(p, e), "ranked": ranked, "ann": ann, "mixed": teacher.mixed_teacher(ann, ranked, 0.9)}
 
-def student_scores(spark, d):
-    b = bank(spark, d)
-    j = pack(spark, d).join(moved(b).select("query_id", F.col("e").alias("qe")), "query_id").join(b, "vec_id")
-    return j.select("query_id", "pos", "vec_id", F.round(V.dot(F.col("qe"), F.col("e")), 9).alias("score"))
+    def scores(self):
+        j = self.pack.join(self.moved.select("query_id", F.col("e").alias("qe")), "query_id").join(self.bank, "vec_id")
+        return j.select("query_id", "pos", "vec_id", F.round(V.dot(F.col("qe"), F.col("e")), 9).alias("score"))
 
 
 @query(PACK.rstrip(", ") + " SELECT query_id, pos, vec_id FROM pack")
 def mixed_pack_dedupe(spark, d):
-    return pack(spark, d)
+    return Lists(spark, d).pack
 
 
 @query(PACK.rstrip(", ") + " SELECT query_id, pos, vec_id, head_score FROM hd")
 def head_score_lookup(spark, d):
-    return teacher.head_scores(pack(spark, d), student(spark, d))
+    lists = Lists(spark, d)
+    return teacher.head_scores(lists.pack, lists.student)
 
 
 def _teacher(which: str):
-    return lambda spark, d: teachers(spark, d)[which].withColumn("p", F.round("p", 9))
+    return lambda spark, d: Lists(spark, d).teachers()[which].withColumn("p", F.round("p", 9))
 
 
 for _n, _t, _s in (("teacher_uniform", "uniform", "tu"), ("teacher_ranked", "ranked", "tr"), ("teacher_ann_softmax", "ann", "ta"), ("teacher_mixed", "mixed", "tm")):
@@ -389,7 +406,8 @@ KL_SQL = (
 
 @query(KL_SQL + "SELECT loss FROM kl")
 def loss_kld(spark, d):
-    return loss.listwise_kl(student_scores(spark, d), teachers(spark, d)["mixed"])
+    lists = Lists(spark, d)
+    return loss.listwise_kl(lists.scores(), lists.teachers()["mixed"])
 
 
 GAP_SQL = TEACH + ", g AS (SELECT query_id, max(score) FILTER (r = 5) a, max(score) FILTER (r = 6) b FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) r FROM st) GROUP BY query_id) "
@@ -397,7 +415,7 @@ GAP_SQL = TEACH + ", g AS (SELECT query_id, max(score) FILTER (r = 5) a, max(sco
 
 @query(GAP_SQL + "SELECT round(coalesce(avg(greatest(0, 0.05 - (a - b))), 0), 9) loss FROM g WHERE b IS NOT NULL")
 def loss_gap(spark, d):
-    return loss.frontier_gap(student_scores(spark, d), 5, loss.gap_margin(10))
+    return loss.frontier_gap(Lists(spark, d).scores(), 5, loss.gap_margin(10))
 
 
 @query(MOVES + " SELECT round(avg(greatest(0, 0.95 - cos)), 9) loss FROM mv")
@@ -580,9 +598,11 @@ S = "s AS (SELECT event_type series, row_number() OVER (PARTITION BY event_type
 
 
 def history(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
     e = table(spark, d, "events", "event_id", "ts", "event_type", "value").filter("value is not null")
-    return e.select(F.col("event_type").alias("series"), F.row_number().over(w).cast("bigint").alias("i"), "value").withColumn("epoch", F.floor((F.col("i") - 1) / 500))
+    ranked = splits.global_rank(e, "event_type", "ts", "event_id")
+    low = ranked.groupBy("event_type").agg(F.min("rank").alias("low"))
+    i = (F.col("rank") - F.col("low") + 1).alias("i")
+    return ranked.join(low, "event_type").select(F.col("event_type").alias("series"), i, "value").withColumn("epoch", F.floor((F.col("i") - 1) / 500))
 
 
 STATS = (
@@ -846,3 +866,111 @@ def batch_retrieval(spark, d):
 def em_refresh(spark, d):
     b = bank(spark, d)
     return evaluate.em_refresh(asked(b), b, model.initial(DIM, 128), K, pca.fit(b, 32)[0])
+
+
+# ---------------------------------------------------------------- splits, selection, stored results
+
+
+def _captions(spark, d):
+    c = table(spark, d, "coco_annotations", "annotation_id", "image_id", "split", "caption")
+    train = c.filter("split = 'train'")
+    held = c.filter("split in ('val', 'test')").join(train.select("image_id").distinct(), "image_id", "left_anti")
+    return train.drop("split"), held.drop("split")
+
+
+_PICK = "row_number() OVER (PARTITION BY image_id ORDER BY md5('{s}:' || annotation_id::VARCHAR), annotation_id)"
+_SOME = "row_number() OVER (ORDER BY md5('{s}:' || image_id::VARCHAR), image_id)"
+
+
+@query(
+    "WITH u AS (SELECT image_id, annotation_id, split, caption FROM coco_annotations WHERE caption IS NOT NULL AND length(trim(caption)) > 0), t AS (SELECT * FROM u WHERE split = 'train'), "
+    "h AS (SELECT * FROM u WHERE split IN ('val', 'test') AND image_id NOT IN (SELECT image_id FROM coco_annotations WHERE split = 'train' AND image_id IS NOT NULL)), "
+    f"tr AS (SELECT image_id, annotation_id, caption FROM (SELECT *, {_PICK.format(s=0)} r FROM t) WHERE r = 1), "
+    f"ot AS (SELECT image_id, annotation_id, caption FROM (SELECT t.*, {_PICK.format(s=1).replace('image_id', 't.image_id').replace('annotation_id', 't.annotation_id')} r FROM t JOIN tr ON t.image_id = tr.image_id WHERE t.caption <> tr.caption) WHERE r = 1), "
+    f"va AS (SELECT * FROM (SELECT *, {_SOME.format(s=2)} r FROM tr) WHERE r <= 40), ho AS (SELECT image_id, annotation_id, caption FROM (SELECT *, {_PICK.format(s=0)} r FROM h) WHERE r = 1) "
+    "SELECT 'train' split, image_id, annotation_id, caption, image_id pair FROM tr UNION ALL SELECT 'val', va.image_id, coalesce(ot.annotation_id, va.annotation_id), coalesce(ot.caption, va.caption), va.image_id FROM va LEFT JOIN ot ON va.image_id = ot.image_id "
+    f"UNION ALL SELECT 'test', image_id, annotation_id, caption, image_id FROM (SELECT *, {_SOME.format(s=3)} r FROM ho) WHERE r <= 20 "
+    f"UNION ALL SELECT 'inbound', image_id, annotation_id, caption, NULL FROM (SELECT *, {_SOME.format(s=4)} r FROM ho) WHERE r <= 20"
+)
+def four_way_split(spark, d):
+    """The sizes of val, test and inbound are parameters of the operator."""
+    return splits.four_way(*_captions(spark, d), "image_id", "annotation_id", "caption", 40, 20, 20)
+
+
+_WEIGHTED = (
+    "w AS (SELECT dataset, backend, variant, round(sum(budget * r) / sum(budget), 9) weighted_recall FROM (SELECT dataset, backend, variant, budget, avg(CASE WHEN recall IS NULL OR isnan(recall) OR isinf(recall) THEN 0 ELSE recall END) r FROM sweep_results GROUP BY ALL) GROUP BY ALL)"
+)
+
+
+@query(
+    f"WITH {_WEIGHTED} SELECT dataset, 'best' AS mode, variant chosen, weighted_recall \"value\" FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY weighted_recall DESC, variant) r FROM w WHERE backend = 'ivf' AND starts_with(variant, 'proj_')) WHERE r = 1"
+)
+def selection_best(spark, d):
+    r = metrics.weighted_recall(table(spark, d, "sweep_results"), "dataset", "backend", "variant")
+    return select.selection_summary(r, "ivf", "dataset").filter("mode = 'best'")
+
+
+@query("SELECT 10::INTEGER k, least(100, count(*))::INTEGER n_queries, 1.0::DOUBLE recall, true passed FROM embeddings WHERE vec_id % 50 = 0")
+def external_truth_check(spark, d):
+    """The blocked search against the declarative one in the place of published lists."""
+    b = bank(spark, d)
+    return metrics.truth_check(exact(spark, d), knn.exact_topk(asked(b), b, K, strategy="catalyst", exclude_self=True), K)
+
+
+@query(f"SELECT row_id, len(list_resize(coalesce(knn_indices, []), 16, -1))::INTEGER n, list_resize(coalesce(knn_indices, []), 16, -1)[1] first, list_sum(list_resize(coalesce(knn_indices, []), 16, -1))::BIGINT total FROM laion_cache")
+def fitted_heads(spark, d):
+    h = H.fit_head(F.col("knn_indices"), 16)
+    return table(spark, d, "laion_cache", "row_id", "knn_indices").select("row_id", F.size(h).alias("n"), h[0].alias("first"), F.aggregate(h, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {N}, {Q}, {hits_sql('x', 'q')} SELECT query_id, rank, vec_id, score FROM x WHERE rank > 7")
+def last_hits(spark, d):
+    return select.shown(exact(spark, d), 3, last=True)
+
+
+@query("SELECT vec_id, label, round(list_sum(list_transform(embedding, lambda y: y::DOUBLE)), 5) total FROM embeddings WHERE embedding IS NOT NULL")
+def binary_roundtrip(spark, d):
+    """Vectors and labels written as binary vector files and read again."""
+    from vecquarry.sources import binvec
+
+    binvec.register(spark)
+    at = f"{checkpoint_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    e = cut(splits.global_rank(table(spark, d, "embeddings", "vec_id", "embedding", "label").filter("embedding is not null"), "vec_id"))
+    rows = e.repartitionByRange("rank").sortWithinPartitions("rank").select((F.col("rank") - 1).alias("id"), F.col("embedding").alias("vec"))
+    rows.write.format("binvec").mode("append").save(at)
+    back = spark.read.format("binvec").load(at).select((F.col("id") + 1).alias("rank"), F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return e.join(back, "rank").select("vec_id", "label", F.round("total", 5).alias("total"))
+
+
+def _cache(spark, d):
+    from vecquarry.sources import caches
+
+    at = f"{checkpoint_dir(spark)}/cache-{uuid.uuid4().hex}"
+    c = table(spark, d, "laion_cache", "row_id", "split", "image_features", "text_features", "knn_indices", "text_to_image")
+    caches.write(c, at)
+    r = caches.reader("laion")
+    return r, r.load(spark, at)
+
+
+@query("SELECT split, query_id, CAST(rank AS INTEGER) rank, vec_id FROM (SELECT split, row_id query_id, unnest(knn_indices) vec_id, generate_subscripts(knn_indices, 1) rank FROM laion_cache) WHERE vec_id >= 0 AND split = 'val'")
+def cache_exact_lists(spark, d):
+    """A cache written, read again, and its stored lists in long form."""
+    r, c = _cache(spark, d)
+    return r.exact(c, "val").select(F.lit("val").alias("split"), "query_id", "rank", "vec_id")
+
+
+@query("SELECT row_id query_id, CASE WHEN text_to_image <> -1 THEN text_to_image END gt_vec_id FROM laion_cache WHERE split = 'test'")
+def cache_pairs(spark, d):
+    r, c = _cache(spark, d)
+    return r.pairs(c, "test")
+
+
+@query("SELECT variant, budget, round(avg(recall), 9) recall, count(*) n_runs, round(avg(qps), 6) qps_mean, round(median(qps), 6) qps_median, round(max(qps), 6) qps_max FROM sweep_results WHERE qps IS NOT NULL AND NOT isnan(qps) AND NOT isinf(qps) AND recall IS NOT NULL AND NOT isnan(recall) GROUP BY variant, budget")
+def qps_report(spark, d):
+    """The speed report written as JSON lines and read again."""
+    from vecquarry.sources import reports
+
+    at = f"{checkpoint_dir(spark)}/qps-{uuid.uuid4().hex}"
+    r = table(spark, d, "sweep_results").filter(metrics.finite(F.col("qps")) & metrics.finite(F.col("recall")))
+    reports.write_qps(r, at)
+    return spark.read.schema("variant string, budget int, recall double, n_runs bigint, qps_mean double, qps_median double, qps_max double").json(at)

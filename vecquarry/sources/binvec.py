@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 
@@ -103,7 +104,9 @@ class Writer(DataSourceWriter):
     def write(self, rows) -> WriterCommitMessage:
         os.makedirs(self.path, exist_ok=True)
         ext = ".ibin" if self.kind == "i32" else ".fbin"
-        final = os.path.join(self.path, f"part-{uuid.uuid4().hex}{ext}")
+        # Names follow the partitions, so a sorted table is read in its order.
+        context = TaskContext.get()
+        final = os.path.join(self.path, f"part-{context.partitionId() if context else 0:06d}-{uuid.uuid4().hex}{ext}")
         temporary, n, width = final + ".tmp", 0, 0
         with open(temporary, "wb") as f:
             f.write(struct.pack("<II", 0, 0))

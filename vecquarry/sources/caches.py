@@ -68,6 +68,28 @@ def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).partitionBy("split").parquet(path)
 
 
+RANKING = ("split", "text_id", "text_features", "text_to_image", "knn_indices", "knn_distances")
+
+
+def write_ranking(images: DataFrame, texts: DataFrame, hits: DataFrame, path: str, info: dict | None = None) -> None:
+    """A ranking cache: ``images`` (split, image_id, image_features, image_filename, image_path) are the banks, ``texts`` (split, text_id, text_features, text_to_image, -1 without a
+    pair) the queries with their neighbour lists and scores from ``hits`` (query_id, rank, vec_id, score), and ``metadata`` the sizes
+    and ``info``. Three tables below ``path``."""
+    rows = F.array_sort(F.collect_list(F.struct("rank", "vec_id", "score")))
+    lists = hits.groupBy(F.col("query_id").alias("text_id")).agg(rows.alias("l"))
+    out = texts.join(lists, "text_id", "left").withColumn("knn_indices", F.transform("l", lambda x: x["vec_id"])).withColumn("knn_distances", F.transform("l", lambda x: x["score"].cast("float")))
+    images.write.mode("overwrite").partitionBy("split").parquet(f"{path}/images")
+    out.withColumn("text_to_image", F.coalesce("text_to_image", F.lit(-1).cast("bigint"))).select(*RANKING).write.mode("overwrite").partitionBy("split").parquet(f"{path}/texts")
+    meta = texts.groupBy("split").agg(F.count("*").alias("size"), F.max(F.size("text_features")).alias("embedding_dim"))
+    notes = F.create_map(*[F.lit(str(x)) for kv in (info or {}).items() for x in kv]) if info else F.lit(None).cast("map<string,string>")
+    meta.withColumn("info", notes).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def read_ranking(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Banks, queries with their lists, and sizes."""
+    return tuple(spark.read.parquet(f"{path}/{t}") for t in ("images", "texts", "metadata"))
+
+
 def existing(df: DataFrame, flag: str = "image_exists") -> DataFrame:
     """Only rows whose image exists; a null flag counts as missing."""
     return df.filter(F.coalesce(F.col(flag), F.lit(False)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecquarry.operators.metrics import qps_stats, recall_summary
+
 
 def retrieval(hits: DataFrame, *columns: str) -> DataFrame:
     """One row for each query: ``query_id, results`` with rank, score and the given columns, best first."""
@@ -26,6 +28,21 @@ def evaluation(results: DataFrame, config: dict, info: dict) -> DataFrame:
     return doc.select(F.to_json(F.struct("*")).alias("document"))
 
 
+def write_qps(results: DataFrame, path: str) -> None:
+    """One line for each variant and budget: its recall, and mean, median, deviation and extremes of its speed."""
+    per = results.groupBy("variant", "budget").agg(F.round(F.avg("recall"), 9).alias("recall"))
+    qps_stats(results, "variant", "budget").join(per, ["variant", "budget"]).write.mode("overwrite").json(path)
+
+
+def write_shootout(results: DataFrame, path: str, selection: DataFrame | None = None) -> None:
+    """One line for each backend, variant and k with average and extreme recall; with ``selection`` (``backend, mode, chosen``) also which
+    checkpoint each mode chose for the backend."""
+    per = recall_summary(results, "backend", "variant", "at_k")
+    if selection is not None:
+        per = per.join(selection.groupBy("backend").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mode", "chosen")))).alias("selected")), "backend", "left")
+    per.write.mode("overwrite").json(path)
+
+
 def append_timing(spark: SparkSession, path: str, event: str, seconds: float, **extra) -> None:
     """Append one ``event, duration_sec, ts, extra`` line."""
     row = spark.createDataFrame([(event, float(seconds), {k: str(v) for k, v in extra.items()})], "event string, duration_sec double, extra map<string,string>")
