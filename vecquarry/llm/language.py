@@ -76,11 +76,12 @@ class Texts:
         self.start = self.start[self.start < n]
         self.doc = np.searchsorted(self.offsets, self.start, side="right") - 1
         self.end = np.minimum(np.r_[self.start[1:], n], self.offsets[self.doc + 1])
-        letter = self.sym > 0
+        letter, plain = self.sym > 0, (self.sym > 0) & (self.raw < 128)
+        # Words begin with three ASCII letters after a blank or sign; pieces of garbled characters are none.
         word = np.zeros(n, bool)
         if n > 2:
-            word[:-2] = letter[:-2] & letter[1:-1] & letter[2:]
-            word[1:] &= ~letter[:-1]
+            word[:-2] = plain[:-2] & plain[1:-1] & plain[2:]
+            word[1:] &= ~letter[:-1] & (self.raw[:-1] < 128)
         words = np.add.reduceat(word.astype(np.int32), self.start)
         last = self.end - 1
         for _ in range(4):  # line ends and blanks at the end
