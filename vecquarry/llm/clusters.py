@@ -31,16 +31,19 @@ from vecquarry.session import cut, spread
 LINKS = T.StructType([T.StructField("id", T.LongType()), T.StructField("nn", T.LongType()), T.StructField("cos", T.FloatType())])
 
 
-def _ranked(links: DataFrame) -> DataFrame:
-    """One row for each link, with its rank among those of ``id``; a link met in several places has its largest cosine."""
+def _ranked(links: DataFrame, k: int) -> DataFrame:
+    """``id, nn, cos, old, bridge, r``: the links to the k best of ``id``, with their rank, and bridges; a link met in several places has its largest cosine."""
     w = Window.partitionBy("id").orderBy(F.desc("cos"), "nn")
-    return links.repartition("id").groupBy("id", "nn").agg(F.max("cos").alias("cos"), F.max("old").alias("old")).withColumn("r", F.row_number().over(w))
+    one = links.repartition("id").groupBy("id", "nn").agg(*(F.max(c).alias(c) for c in ("cos", "old", "bridge")))
+    return one.withColumn("r", F.row_number().over(w)).filter((F.col("r") <= k) | F.col("bridge"))
 
 
-def descend(links: DataFrame, codes: DataFrame, least: float, sent: int = 2, meets: int = 6) -> DataFrame:
+def descend(links: DataFrame, codes: DataFrame, k: int, least: float, sent: int = 2, meets: int = 6) -> DataFrame:
     """One round of neighbour descent: each vector goes to its ``sent`` best neighbours, where it meets the others sent
     there (each the next ``meets`` in the order of ids); pairs of at least ``least`` enter the lists."""
-    to = links.filter(F.col("r") <= sent).select("id", F.col("nn").alias("at"))
+    to = links.filter(F.col("r") <= sent).select("id", F.col("nn").alias("at"), "old")
+    # Where nobody is new, all have met before.
+    to = to.join(to.filter("old = 0").select("at").distinct(), "at", "left_semi").select("id", "at")
     here = spread(to.join(codes, "id"), "at").sortWithinPartitions("at", "id").select("at", "id", "code")
 
     def run(batches):
@@ -63,20 +66,20 @@ def descend(links: DataFrame, codes: DataFrame, least: float, sent: int = 2, mee
             a, b = ids[i], ids[i + s]
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, b]), pa.array(np.r_[b, a]), pa.array(np.r_[cos, cos])], names=LINKS.names)
 
-    found = here.mapInArrow(run, LINKS).withColumn("old", F.lit(0))
-    return _ranked(links.select("id", "nn", "cos", F.lit(1).alias("old")).unionByName(found).filter("id != nn"))
+    found = here.mapInArrow(run, LINKS).withColumns({"old": F.lit(0), "bridge": F.lit(False)})
+    return _ranked(links.select("id", "nn", "cos", F.lit(1).alias("old"), "bridge").unionByName(found).filter("id != nn"), k)
 
 
 def neighbour_graph(vectors: DataFrame, codes: DataFrame, n: int, k: int = 6, least: float = 0.90, weak: float = 0.85, still: float = 0.01) -> DataFrame:
     """``a, b, w, near`` (a < b): undirected links of at least ``weak`` among ``kind, id, vec``; only vectors of one kind
-    meet. ``near`` are the links to the k best of either end. The others are a spanning forest of the links of at least
-    ``least`` that were met: they join what the k best leave apart, for instance a clump of more than k near copies."""
+    meet. ``near`` are the links to the k best of either end. The others are of at least ``least`` and
+    join what the k best leave apart, for instance two clumps of more than k near copies each."""
     flag = F.lit(True)
     asked = vectors.select("kind", "id", flag.alias("stored"), flag.alias("asks"), "vec")
     found = nearest(asked, Hashing.planned(n), {0: weak, 1: weak}, k, by_kind=True, selfless=True, mutual=True, joined=least)
-    links = cut(_ranked(found.select("id", "nn", "cos", F.lit(0).alias("old"))))
+    links = cut(_ranked(found.select("id", "nn", "cos", F.lit(0).alias("old"), (F.col("err") < 0).alias("bridge")), k))
     while True:
-        new = cut(descend(links, codes, weak), instead=links)
+        new = cut(descend(links, codes, k, weak), instead=links)
         kept = new.filter(F.col("r") <= k).agg(F.count("*").alias("n"), F.sum("old").alias("old")).first()
         links = new
         if kept.n - (kept.old or 0) <= still * kept.n:
@@ -132,15 +135,16 @@ def _estimated(pairs: DataFrame, named: DataFrame, codes: DataFrame, weak: float
 
 
 def communities(links: DataFrame, codes: DataFrame, resolution: float = 0.1, weak: float = 0.85) -> DataFrame:
-    """``id, com, degree`` of the nodes in ``a, b, w, near``: modularity over several levels, within each connected component.
+    """``id, com, top`` of the nodes in ``a, b, w, near``: modularity over several levels, within each connected component.
+    ``top`` is the cosine of the nearest neighbour, which is in the same community.
 
     Vectors first join their nearest neighbour. On each further level a community joins the one with which modularity
     gains most, if it gains, until none does. From the second level on the links are weighed by ``_estimated``.
     """
     ends = _both(links, "near")
     nodes = ends.groupBy("id").agg(F.max(F.struct("w", (-F.col("to")).alias("to"))).alias("best"), F.sum("w").alias("k"), F.round(F.coalesce(F.sum(F.when(F.col("near"), F.col("w"))), F.lit(0.0)), 6).alias("degree"))
-    nodes = cut(nodes.select("id", (-F.col("best.to")).alias("to"), "k", "degree"))
-    named = cut(nodes.join(merged(nodes.select("id", "to")), "id").select("id", "com", "k", "degree"))
+    nodes = cut(nodes.select("id", (-F.col("best.to")).alias("to"), F.col("best.w").alias("top"), "k", "degree"))
+    named = cut(nodes.join(merged(nodes.select("id", "to")), "id").select("id", "com", "k", "degree", "top"))
 
     def over(pairs: DataFrame, names: DataFrame) -> DataFrame:
         for end in ("a", "b"):
@@ -154,7 +158,7 @@ def communities(links: DataFrame, codes: DataFrame, resolution: float = 0.1, wea
         if level > 1:
             pairs = cut(_estimated(pairs, named, codes, weak), instead=pairs)
         if not pairs.limit(1).count():
-            return named.select("id", "com", "degree")
+            return named.select("id", "com", "top")
         sums = named.groupBy(F.col("com").alias("id")).agg((F.count("*") * (F.count("*") - 1)).cast("double").alias("within"), F.sum("k").alias("k"))
         if level > 1:
             sums = sums.join(_both(pairs).groupBy("id").agg(F.sum("w").alias("w")), "id", "left").select("id", (F.col("within") + F.coalesce("w", F.lit(0.0))).alias("k"))
@@ -165,9 +169,9 @@ def communities(links: DataFrame, codes: DataFrame, resolution: float = 0.1, wea
         gains = gains.select("a", "b", gain.alias("w")).filter("w > 0")
         best = cut(_both(gains).groupBy("id").agg(F.max(F.struct("w", (-F.col("to")).alias("to"))).alias("best")).select("id", (-F.col("best.to")).alias("to")))
         if not best.limit(1).count():
-            return named.select("id", "com", "degree")
+            return named.select("id", "com", "top")
         joins = merged(best)
-        named = cut(named.join(joins.select(F.col("id").alias("com"), F.col("com").alias("new")), "com", "left").select("id", F.coalesce("new", "com").alias("com"), "k", "degree"), instead=named)
+        named = cut(named.join(joins.select(F.col("id").alias("com"), F.col("com").alias("new")), "com", "left").select("id", F.coalesce("new", "com").alias("com"), "k", "degree", "top"), instead=named)
         pairs = cut(over(pairs, joins), instead=pairs)
         level += 1
 
@@ -187,19 +191,24 @@ def components(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
     raise RuntimeError("labels still change")
 
 
-def verified(com: DataFrame, links: DataFrame, least: float) -> DataFrame:
-    """``id, cluster, degree``: members with a link of at least ``least`` into their community; its smallest such id names it.
-    ``degree`` is the weighted degree within the community."""
+def verified(com: DataFrame, least: float) -> DataFrame:
+    """``id, cluster``: members with a link of at least ``least`` into their community; its smallest such id names it."""
+    inside = com.filter(F.col("top") >= least).select("id", "com")
+    return inside.join(inside.groupBy("com").agg(F.min("id").alias("cluster")), "com").select("id", "cluster")
+
+
+def degrees(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, degree``: the weighted degree of each member within its cluster, over the links to nearest neighbours."""
+    links = links.filter("near")
     for end in ("a", "b"):
-        links = links.join(com.select(F.col("id").alias(end), F.col("com").alias(f"c{end}")), end)
-    inside = links.filter("ca = cb").select(F.explode(F.array("a", "b")).alias("id"), F.col("ca").alias("com"), "w", "near")
-    inside = inside.groupBy("id", "com").agg(F.max("w").alias("top"), F.round(F.coalesce(F.sum(F.when(F.col("near"), F.col("w"))), F.lit(0.0)), 6).alias("degree"))
-    inside = cut(inside.filter(F.col("top") >= least).drop("top"))
-    return inside.join(inside.groupBy("com").agg(F.min("id").alias("cluster")), "com").select("id", "cluster", "degree")
+        links = links.join(named.select(F.col("id").alias(end), F.col("cluster").alias(f"c{end}")), end)
+    inside = links.filter("ca = cb").select(F.explode(F.array("a", "b")).alias("id"), "w")
+    return inside.groupBy("id").agg(F.round(F.sum("w"), 6).alias("degree"))
 
 
-def clusters(tables: dict[str, tuple[DataFrame, str, str]], least: float = 0.90, k: int = 6, resolution: float = 0.1) -> DataFrame:
-    """``tab, row, first, size, degree`` for every row with a valid vector; up to two tables, ``name: (df, key, vec)``."""
+def clusters(tables: dict[str, tuple[DataFrame, str, str]], least: float = 0.90, k: int = 6, resolution: float = 0.1, degree: bool = False) -> DataFrame:
+    """``tab, row, first, size`` for every row with a valid vector, with ``degree`` also its weighted degree within the cluster;
+    up to two tables, ``name: (df, key, vec)``."""
     names = list(tables)
     nodes, rows = None, None
     for i, (df, key, vec) in enumerate(tables.values()):
@@ -209,11 +218,15 @@ def clusters(tables: dict[str, tuple[DataFrame, str, str]], least: float = 0.90,
         nodes, rows = (v, m) if nodes is None else (nodes.unionByName(v), rows.unionByName(m))
     codes = cut(coded_vectors(nodes, "id"))
     links = cut(neighbour_graph(nodes, codes, nodes.count(), k, least))
-    named = verified(communities(links, codes, resolution), links, least)
-    full = rows.join(named, "id", "left").select("kind", "row", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("degree", F.lit(0.0)).alias("degree"))
+    named = verified(communities(links, codes, resolution), least)
+    more = ["degree"] if degree else []
+    if degree:
+        named = cut(named)
+        named = named.join(degrees(named, links), "id", "left")
+    full = rows.join(named, "id", "left").select("kind", "row", F.coalesce("cluster", "id").alias("cluster"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in more))
     per = full.groupBy("cluster").agg(F.min("row").alias("first"), F.count("*").alias("size"))
     tab = F.element_at(F.array(*map(F.lit, names)), F.col("kind") + 1)
-    return full.join(per, "cluster").select(tab.alias("tab"), "row", "first", "size", "degree")
+    return full.join(per, "cluster").select(tab.alias("tab"), "row", "first", "size", *more)
 
 
 def clusters_found(tables: dict[str, tuple[DataFrame, str, str]], least: float = 0.90, min_size: int = 3) -> DataFrame:
@@ -224,6 +237,6 @@ def clusters_found(tables: dict[str, tuple[DataFrame, str, str]], least: float =
 def described(tables: dict[str, tuple[DataFrame, str, str]], least: float = 0.90, typical: int = 3) -> DataFrame:
     """One row for each cluster: its size and its rows of the highest internal weighted degree, best first."""
     w = Window.partitionBy("tab", "first").orderBy(F.desc("degree"), "row")
-    top = clusters(tables, least).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= typical)
+    top = clusters(tables, least, degree=True).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= typical)
     rows = F.transform(F.array_sort(F.collect_list(F.struct("r", "row"))), lambda x: x["row"])
     return top.groupBy("tab", F.col("first").alias("first_row_id")).agg(F.max("size").alias("size"), rows.alias("typical_row_ids"))

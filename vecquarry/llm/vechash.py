@@ -391,7 +391,7 @@ class Forest:
 @dataclass(frozen=True)
 class Search:
     """What a block's search keeps. ``mutual``: a stored vector that asks also takes visitors of its kind as neighbours.
-    ``joined``: links of at least this cosine also come as a spanning forest of all that are met, however many a vector has."""
+    ``joined``: where links of at least this cosine join what the ``k`` best leave apart, they come too, with a negative ``err``."""
 
     hashing: Hashing
     least: dict[int, float]
@@ -453,6 +453,8 @@ class Block:
         self.ends, self.keys = np.r_[self.starts[1:], len(code)].astype(int), code[self.starts]
         self.forest = Forest(len(ids)) if self.s.joined is not None else None
         self.taken: list[tuple[np.ndarray, ...]] = []
+        self.links: list[tuple[np.ndarray, ...]] = []
+        self.trees: list[tuple[np.ndarray, ...]] = []
         own = np.flatnonzero(self.asks)
         own = own[np.isin(self.kind[own], list(self.s.least))]
         codes = codes[order]
@@ -504,6 +506,8 @@ class Block:
         q, b, cos, err = q[on], b[on], cos[on], err[on]
         top = _best(q, cos, self.ids[b], s.k)
         yield _hits(kind[q[top]], ids[q[top]], self.ids[b[top]], cos[top], err[top])
+        if self.forest is not None:
+            self.links.append((ids[q[top]], self.ids[b[top]], cos[top] - err[top] >= s.joined))
         if s.mutual and places is None:
             on = np.flatnonzero(self.asks[b] & (self.kind[b] == kind[q]))
             on = on[_best(b[on], cos[on], ids[q[on]], s.k)]
@@ -511,7 +515,7 @@ class Block:
             if sum(len(t[0]) for t in self.taken) > 4 * self.s.k * max(n, 50_000):
                 self.take()
         if self.forest is not None:
-            yield self._joined(ids, x, rest, kind)
+            self._joined(ids, x, rest, kind)
             self.forest.shrink(n)
 
     def take(self):
@@ -519,11 +523,13 @@ class Block:
         top = _best(b, cos, nn, self.s.k)
         self.taken = [(b[top], nn[top], cos[top], err[top])]
 
-    def _joined(self, ids, x, rest, kind):
-        """New links of the forest, from both ends; the bank's own nodes come before those of visitors."""
+    def _joined(self, ids, x, rest, kind) -> None:
+        """New links of the forest; the block's own nodes come before those of visitors."""
         n = len(self.ids)
         kept, self.forest.kept = self.forest.kept, []
-        a, b = (np.concatenate(c) for c in zip(*kept, strict=True)) if kept else (np.zeros(0, int),) * 2
+        if not kept:
+            return
+        a, b = (np.concatenate(c) for c in zip(*kept, strict=True))
 
         def side(at, mine, other):
             inside = at < n
@@ -532,10 +538,23 @@ class Block:
             out[~inside] = other[at[~inside] - n]
             return out
 
-        ia, ib, ka = side(a, self.ids, ids), side(b, self.ids, ids), side(a, self.kind, kind)
-        cos = np.einsum("ij,ij->i", side(a, self.x, x), side(b, self.x, x)) if len(a) else np.zeros(0, np.float32)
+        cos = np.einsum("ij,ij->i", side(a, self.x, x), side(b, self.x, x))
         err = side(a, self.rest, rest) + side(b, self.rest, rest) + np.float32(4e-6)
-        return _hits(np.r_[ka, ka], np.r_[ia, ib], np.r_[ib, ia], np.r_[cos, cos], np.r_[err, err])
+        self.trees.append((side(a, self.kind, kind), side(a, self.ids, ids), side(b, self.ids, ids), cos, err))
+
+    def _bridges(self) -> pa.RecordBatch:
+        """Links of the forest that join what the best links leave apart, from both ends."""
+        kind, ia, ib, cos, err = (np.concatenate(c) for c in zip(*self.trees, strict=True))
+        la, lb, sure = (np.concatenate(c) for c in zip(*self.links, strict=True))
+        names, at = np.unique(np.concatenate([ia, ib, la[sure], lb[sure]]), return_inverse=True)
+        a, b, la, lb = np.split(at, np.cumsum([len(ia), len(ib), int(sure.sum())]))
+        forest = Forest(len(names))
+        forest.add(la, lb)
+        place = {(int(x), int(y)): i for i, (x, y) in reversed(list(enumerate(zip(a, b, strict=True))))}
+        forest.kept = []
+        forest.add(a, b)
+        at = np.array([place[int(x), int(y)] for p, q in forest.kept for x, y in zip(p, q, strict=True)], int)
+        return _hits(np.r_[kind[at], kind[at]], np.r_[ia[at], ib[at]], np.r_[ib[at], ia[at]], np.r_[cos[at], cos[at]], -np.r_[err[at], err[at]])
 
     def end(self):
         yield from self.visit()
@@ -543,6 +562,8 @@ class Block:
             self.take()
             b, nn, cos, err = self.taken[0]
             yield _hits(self.kind[b], self.ids[b], nn, cos, err)
+        if self.forest is not None and self.trees:
+            yield self._bridges()
 
 
 def _hits(kind, ids, nn, cos, err) -> pa.RecordBatch:
