@@ -136,7 +136,7 @@ def test_lines_stand_alone(spark):
     alone = language.Texts(pa.array([LINES["fr"]])).bits(cost)[0]
     assert (language.Texts(pa.array([LINES["de"], "x\n" + LINES["es"] + "\n" + LINES["fr"]])).bits(cost)[3] == alone).all()
     bare = [v.rstrip(".") for v in LINES.values()]
-    assert language.Texts(pa.array(["Some title of four words\n" + "\n".join(bare) + "\nx = a + b (one) [two] {three} <four> #1 / 2 * 3 - 4\nHEAD"])).prose.tolist() == [False, *[True] * 5, False, False]
+    assert language.Texts(pa.array(["Some title of four words\n" + "\n".join(bare) + "\nx = a + b (one) [two] {six} <ten> #1 / 2 * 3 - 4 = 56\nHEAD"])).prose.tolist() == [False, *[True] * 5, False, False]
 
 
 def test_costs_are_code_lengths(spark):

@@ -169,7 +169,7 @@ def odd(word: str) -> int:
         elif k[i] == "x":
             n += before in ("L", "l") or after in ("L", "l")
         elif k[i] == "L":
-            n += before == "l" and after != "L"
+            n += before == "l" and not (after == "L" and word[i + 1].isascii())
     return n
 
 
