@@ -199,6 +199,8 @@ def learn_rates(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -
             for j, v in enumerate(votes):
                 yes[j][v] += n * p
                 no[j][v] += n * (1 - p)
+        # Levels are in order, so what is seen at one speaks for its neighbours too.
+        yes, no = ([_spread(x) for x in part] for part in (yes, no))
         n_yes, n_no = (sum(n * q for (_, n), q in zip(patterns, part, strict=True)) + 1 for part in (belief, [1 - p for p in belief]))
         prior = n_yes / (n_yes + n_no)
         # Level 0 tells nothing.
@@ -207,10 +209,21 @@ def learn_rates(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -
     return prior, rates
 
 
+def _spread(counts: list[float]) -> list[float]:
+    """Counts of levels, each with a quarter of its neighbours' (level 0 stands apart)."""
+    ends = [0.0, *counts[1:], 0.0]
+    return [counts[0], *(ends[i] + 0.25 * (ends[i - 1] + ends[i + 1]) for i in range(1, len(ends) - 1))]
+
+
+#: Most that one function other than the deciding section adds to the log odds: sections of one text don't vote independently.
+DAMPED = 1.5
+
+
 def posterior(votes: tuple[int, ...], prior: float, rates: list[list[tuple[float, float]]]) -> float:
     z = math.log(prior / (1 - prior))
-    for v, r in zip(votes, rates, strict=True):
-        z += math.log(r[v][0] / r[v][1])
+    for j, (v, r) in enumerate(zip(votes, rates, strict=True)):
+        odds = math.log(r[v][0] / r[v][1])
+        z += odds if j == 0 else min(max(odds, -DAMPED), DAMPED)
     return 1 / (1 + math.exp(-min(max(z, -50), 50)))
 
 
