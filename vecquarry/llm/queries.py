@@ -135,4 +135,4 @@ QUERIES = {
     )
 }
 # The other queries have no twin: their searches are approximate, learned, or too slow as SQL on whole tables.
-SQL: dict[str, str] = {"p1_found": sql.COPIES, "p2_found": sql.LOOKALIKE_PAIRS, "p9_found": sql.LEAKS}
+SQL: dict[str, str] = {"p1_found": sql.COPIES, "p1_collapsed": sql.COLLAPSED, "p2_found": sql.LOOKALIKE_PAIRS, "p2_canonical": sql.CANONICAL, "p9_found": sql.LEAKS}

@@ -1,9 +1,46 @@
-"""SQL twins of training-data queries, for an engine with ``nfc_normalize`` and RE2 patterns."""
+"""SQL twins of training-data queries, for an engine with ``nfc_normalize`` and RE2 patterns.
+
+The tables here are made anew from Unicode's data and a list of their own, so a fault of the operators' table shows.
+"""
 
 from __future__ import annotations
 
-from vecquarry.llm.copies import _closure
-from vecquarry.llm.lookalike import VS15, VS16, ZWJ, mapping
+import unicodedata
+
+VS15, VS16, ZWJ = "\ufe0e", "\ufe0f", "\u200d"
+# Letters of other scripts over the Latin letters that they look like.
+_CYRILLIC = ("АВЕКМНОРСТУХЅІЈԚԜҮҺаеорсухѕіјԁԛԝһүӏ", "ABEKMHOPCTYXSIJQWYHaeopcyxsijdqwhyl")
+_GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιαρϲϳ", "ABEZHIKMNOPTYXoviapcj")
+_LATIN = ("ıɑɡ", "iag")
+_ALIKE = {x: y for src, dst in (_CYRILLIC, _GREEK, _LATIN) for x, y in zip(src, dst, strict=True)}
+_UNSEEN = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x200B, 0x200C, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF]
+
+
+def mapping() -> dict[str, str]:
+    """Characters that change and what they become, from normal forms: tagged forms that look like the plain ones by
+    compatibility, others by canonical decomposition."""
+    out = {}
+    for cp in (*range(0x80, 0xAC00), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA1E)):
+        c = chr(cp)
+        kind = unicodedata.decomposition(c).split(" ")[0]
+        plain = kind in ("<wide>", "<narrow>", "<noBreak>", "<font>") or 0xFB00 <= cp <= 0xFB06
+        if cp in _UNSEEN:
+            to = ""
+        elif unicodedata.category(c) == "Zs":
+            to = " "
+        elif cp in (0x2010, 0x2011):
+            to = "-"
+        else:
+            to = "".join(_ALIKE.get(x, x) for x in unicodedata.normalize("NFKD" if plain else "NFD", c))
+        if to != c:
+            out[c] = to
+    return out
+
+
+def _closure() -> tuple[str, str]:
+    pairs = {x.lower(): y.lower() for x, y in _ALIKE.items() if x.isupper()} | {x: y for x, y in _ALIKE.items() if x.islower()}
+    return "".join(pairs), "".join(pairs.values())
+
 
 PICT = "[\\x{1F000}-\\x{10FFFF}\\x{2190}-\\x{21FF}\\x{2300}-\\x{23FF}\\x{2600}-\\x{27BF}\\x{2B00}-\\x{2BFF}]"
 
@@ -56,8 +93,11 @@ k AS (SELECT text, first, w, seq, CASE WHEN len(names) >= 2 AND len({words('head
       THEN array_to_string(list_sort(list_transform(list_zip(names, vals), lambda z: z[1] || '=' || z[2])), ';') END fields FROM h),
 m AS (SELECT *, max(fields) OVER (PARTITION BY seq) mf FROM k),
 n AS (SELECT text, w, min(first) OVER (PARTITION BY coalesce('\x01' || mf, seq)) keep FROM m)
-SELECT keep keep_row_id, row_id FROM datacomp_pool JOIN n USING (text) WHERE len(w) >= 6 AND row_id <> keep
 """
+COLLAPSED = f"{COPIES} SELECT keep keep_row_id, count(*) n_copies, count(DISTINCT text) n_texts FROM datacomp_pool JOIN n USING (text) GROUP BY keep"
+COPIES += "SELECT keep keep_row_id, row_id FROM datacomp_pool JOIN n USING (text) WHERE len(w) >= 6 AND row_id <> keep"
+
+CANONICAL = f"SELECT row_id, {canonical('text')} canon FROM datacomp_pool WHERE text IS NOT NULL"
 
 LEAKS = f"""
 WITH i AS (SELECT item_id, {words(folded(canonical('text')))} w FROM eval_passages WHERE text IS NOT NULL),
