@@ -705,8 +705,8 @@ def project_queries(spark, d):
 
 @query()
 def train_epoch(spark, d):
-    b = bank(spark, d)
-    rows = model.training_rows(asked(b), b, pack(spark, d), teachers(spark, d)["mixed"]).persist()
+    b, lists = bank(spark, d), Lists(spark, d)
+    rows = model.training_rows(asked(b), b, lists.pack, lists.teachers()["mixed"]).persist()
     _, _, h = model.train(rows, model.initial(DIM, 128), epochs=1, batches=2)
     rows.unpersist()
     return spark.createDataFrame([(e, i, round(v, 9)) for e, i, v in h], "epoch int, batch int, loss double")
