@@ -113,6 +113,16 @@ def test_kinds_never_meet(spark, stored):
     assert clusters.clusters(both).filter("size > 1").count() == 0
 
 
+def test_groups_whose_buckets_nobody_meets(spark):
+    """An evaluation image that visits none of the buckets in its group: no pair, and no error; others are found."""
+    v = Hashing.planned(3).functions(0)[0][:, 0]
+    far, *pair = [[float(x) for x in s * v / np.linalg.norm(v)] for s in (1, -1, -1)]
+    for train, want in (([], set()), ([pair[1]], {(1, 2)})):
+        rows = [(0, "train", far), (1, "val", pair[0])] + [(2, "train", x) for x in train]
+        df = spark.createDataFrame(rows, "row_id bigint, split string, b32_img array<float>").withColumn("text", F.lit(None).cast("string"))
+        assert {(r.row_id_a, r.row_id_b) for r in overlaps.cross_split_pairs(df).collect()} == want
+
+
 def test_modularity_decides(spark):
     """Two groups at a cosine of 0.80 and one vector midway, near all of both: one component, but two clusters."""
     rng = np.random.default_rng(12)

@@ -476,14 +476,16 @@ class Block:
         bucket = pos[q, j]
         order = np.argsort(bucket, kind="stable")
         q, bucket = q[order], bucket[order]
+        # Where no bucket is met, there are no edges at all.
         edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
+        ends = np.r_[edges[1:], len(bucket)].astype(int) if len(bucket) else edges
         least = np.array([s.least[int(v)] for v in kind], np.float32)
         n = len(self.ids)
         if self.forest is not None and places is None:
             self.forest.grow(n + len(ids))
         node = places if places is not None else n + np.arange(len(ids))
         found: list[tuple[np.ndarray, ...]] = []
-        for lo, hi in zip(edges, np.r_[edges[1:], len(bucket)].astype(int), strict=True):
+        for lo, hi in zip(edges, ends, strict=True):
             begin, end = self.starts[bucket[lo]], self.ends[bucket[lo]]
             bank, bank_rest = self.x[begin:end], self.rest[begin:end]
             step = max(1, 4_000_000 // (end - begin))
