@@ -123,6 +123,16 @@ def test_groups_whose_buckets_nobody_meets(spark):
         assert {(r.row_id_a, r.row_id_b) for r in overlaps.cross_split_pairs(df).collect()} == want
 
 
+def test_sparse_groups_of_a_graph(spark):
+    """Groups of one or two vectors, most of whose visitors meet no bucket, in the settings of problem 7."""
+    rng = np.random.default_rng(4)
+    x = unit(rng.standard_normal((3000, 64)))
+    x = np.r_[x, x[:200] + 0.001 * rng.standard_normal((200, 64))]
+    df = spark.createDataFrame([(0, i, True, True, [float(c) for c in v]) for i, v in enumerate(x)], "kind int, id bigint, stored boolean, asks boolean, vec array<float>")
+    found = nearest(df, Hashing(coarse=8), {0: 0.85}, 6, by_kind=True, selfless=True, mutual=True, joined=0.9)
+    assert {(r.id, r.nn) for r in found.collect()} == {p for i in range(200) for p in ((i, i + 3000), (i + 3000, i))}
+
+
 def test_modularity_decides(spark):
     """Two groups at a cosine of 0.80 and one vector midway, near all of both: one component, but two clusters."""
     rng = np.random.default_rng(12)
