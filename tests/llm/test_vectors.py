@@ -218,3 +218,18 @@ def test_cross_split_ways(spark):
     assert rep == {("val", "s"): 2, ("test", "s"): 1}
     part = {r.row_id: r.overlap for r in overlaps.overlap_fractions(df).collect()}
     assert part[1] == 1 and part[5] == 1 and part[6] == 0 and 0 < part[2] < 1
+
+
+def test_running_text_with_the_words_of_a_list(spark):
+    """A list of named fields takes no near partners away from a running text of the same words, and gets none itself."""
+    texts = [
+        ("train", "name: red; size: 12; brand: foo"), ("val", "Name red, size 12, brand foo."), ("train", "name red size 13 brand foo"), ("test", "brand foo name red size 12"),
+        ("test", "size=12; brand=foo; name=red"), ("train", "brand foo name red size 13"),
+    ]
+    df = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "row_id bigint, split string, text string").withColumn("b32_img", F.lit(None).cast("array<float>"))
+    got = {}
+    for r in overlaps.cross_split_pairs(df).collect():
+        got.setdefault(r.way, set()).add((r.row_id_a, r.row_id_b))
+    assert got == {"copy": {(0, 1), (0, 4)}, "near": {(1, 2), (3, 5)}}
+    part = {r.row_id: r.overlap for r in overlaps.overlap_fractions(df).collect()}
+    assert part[1] == 1 and part[4] == 1 and 0 < part[3] < 1

@@ -82,7 +82,7 @@ def field_key(folded: Column) -> Column:
 
 def normal_forms(df: DataFrame, text: str = "text", seq: bool = False) -> DataFrame:
     """``h1, h2, n_words, k1, k2, listed`` of the distinct texts (128 bits each for the text and its normal form): the
-    costly keys, and whether the normal form is a field list; with ``seq`` also the words, joined by blanks.
+    costly keys, and whether the text itself is a field list; with ``seq`` also the words, joined by blanks, and 128 bits of them (``s1, s2``).
 
     The normal form is the sorted field list where the text, or another text with the same words in the same order, is a
     list of named fields; else the word sequence.
@@ -95,7 +95,7 @@ def normal_forms(df: DataFrame, text: str = "text", seq: bool = False) -> DataFr
     # Where some text of a word sequence is a list of fields, all of them are.
     listed = keyed.filter("fields is not null").groupBy("s1", "s2").agg(F.max("fields").alias("of"))
     named = keyed.join(listed, ["s1", "s2"], "left")
-    return named.select("h1", "h2", "n_words", F.coalesce("of.f1", "s1").alias("k1"), F.coalesce("of.f2", "s2").alias("k2"), F.col("of").isNotNull().alias("listed"), *(["seq"] if seq else []))
+    return named.select("h1", "h2", "n_words", F.coalesce("of.f1", "s1").alias("k1"), F.coalesce("of.f2", "s2").alias("k2"), F.col("fields").isNotNull().alias("listed"), *(["seq", "s1", "s2"] if seq else []))
 
 
 def copy_classes(df: DataFrame, key: str = "row_id", text: str = "text", min_words: int = 0) -> DataFrame:

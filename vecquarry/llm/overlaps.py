@@ -154,19 +154,24 @@ def near_texts(texts: DataFrame, edits: int = 2, shared: int = 2, window: int =
 
 
 def text_classes(df: DataFrame, key: str, text: str, split: str, min_words: int) -> tuple[DataFrame, DataFrame]:
-    """``row, side, nid`` of the rows, and ``nid, sides, seq`` of the classes that are no lists of named fields.
+    """``row, side, nid, tid`` of the rows, with their class of copies and of running texts of the same words, and ``nid, sides,
+    seq`` of the latter.
 
-    Texts are keyed once and travel as hashes from there on.
+    A list of named fields has no ``tid``; a running text of the same words is a copy of it, but meets others. Texts are
+    keyed once and travel as hashes from there on.
     """
     side = F.when(F.col(split) == "train", 1).when(F.col(split).isin("val", "test"), 2)
     rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("row"), side.alias("side"), F.col(text).alias("t")).filter("side is not null")
     forms = cut(normal_forms(rows, "t", seq=True).filter(F.col("n_words") >= min_words))
-    rows = rows.select("row", "side", *(c.alias(n) for c, n in zip(text_id(F.col("t")), ("h1", "h2"), strict=True))).join(forms.select("h1", "h2", "k1", "k2", "listed"), ["h1", "h2"])
-    # A class is named by its smallest row.
-    classes = rows.groupBy("k1", "k2").agg(F.min("row").alias("nid"), F.bit_or("side").alias("sides"))
-    rows = cut(rows.join(classes, ["k1", "k2"]).select("row", "side", "nid"))
-    seqs = forms.filter("not listed").groupBy("k1", "k2").agg(F.first("seq").alias("seq"))
-    return rows, cut(classes.join(seqs, ["k1", "k2"]).select("nid", F.col("sides").cast("int").alias("sides"), "seq"))
+    rows = rows.select("row", "side", *(c.alias(n) for c, n in zip(text_id(F.col("t")), ("h1", "h2"), strict=True))).join(forms.select("h1", "h2", "k1", "k2", "s1", "s2", "listed"), ["h1", "h2"])
+    # A class is named by its smallest row, and a class of running texts by its own smallest.
+    own = F.when(~F.col("listed"), F.col("row"))
+    texts = rows.groupBy("k1", "k2", "s1", "s2").agg(F.min("row").alias("first"), F.min(own).alias("tid"), F.bit_or(F.when(~F.col("listed"), F.col("side"))).alias("sides"))
+    classes = texts.groupBy("k1", "k2").agg(F.min("first").alias("nid"))
+    texts = cut(texts.join(classes, ["k1", "k2"]).select("s1", "s2", "nid", "tid", "sides"))
+    rows = cut(rows.join(texts.select("s1", "s2", "nid", "tid"), ["s1", "s2"]).select("row", "side", "nid", F.when(~F.col("listed"), F.col("tid")).alias("tid")))
+    seqs = forms.filter("not listed").groupBy("s1", "s2").agg(F.first("seq").alias("seq"))
+    return rows, cut(texts.filter("tid is not null").join(seqs, ["s1", "s2"]).select(F.col("tid").alias("nid"), F.col("sides").cast("int").alias("sides"), "seq"))
 
 
 def _pairs(rows: DataFrame, a: str = "nid_a", b: str = "nid_b", links: DataFrame | None = None) -> DataFrame:
@@ -184,7 +189,7 @@ def cross_split_pairs(df: DataFrame, key: str = "row_id", text: str = "text", ve
     rows, classes = text_classes(df, key, text, split, min_words)
     copies = _pairs(rows).withColumn("way", F.lit("copy"))
     near = near_texts(classes, edits).select("nid_a", "nid_b")
-    near = _pairs(rows, links=near).withColumn("way", F.lit("near"))
+    near = _pairs(rows.select("row", "side", F.col("tid").alias("nid")), links=near).withColumn("way", F.lit("near"))
 
     side = F.when(F.col(split) == "train", 1).when(F.col(split).isin("val", "test"), 2)
     sided = df.select(F.col(key), F.col(vec), side.alias("side")).filter("side is not null")
@@ -207,11 +212,11 @@ def overlap_fractions(df: DataFrame, key: str = "row_id", text: str = "text", sp
     """``<key>, overlap``: for each evaluation row with such a text the share of its words in chunks that train has too; 1 for a
     copy. Where a text is cut in both ways, the larger share counts."""
     rows, classes = text_classes(df.filter(F.col(key).isNotNull()), key, text, split, min_words)
-    per = digests(classes, edits).groupBy("nid").agg(F.max("overlap").alias("overlap"))
+    per = digests(classes, edits).groupBy(F.col("nid").alias("tid")).agg(F.max("overlap").alias("overlap"))
     # Lists of named fields are no running text: only copies of them overlap.
     sides = rows.groupBy("nid").agg(F.bit_or("side").alias("sides"))
-    per = sides.join(per, "nid", "left").select("nid", F.when(F.col("sides") == 3, 1.0).otherwise(F.coalesce("overlap", F.lit(0.0))).alias("overlap"))
-    return rows.filter("side = 2").join(per, "nid").select(F.col("row").alias(key), "overlap")
+    rows = rows.filter("side = 2").join(sides, "nid").join(per, "tid", "left")
+    return rows.select(F.col("row").alias(key), F.when(F.col("sides") == 3, 1.0).otherwise(F.coalesce("overlap", F.lit(0.0))).alias("overlap"))
 
 
 def overlap_report(df: DataFrame, key: str = "row_id", text: str = "text", split: str = "split", source: str = "source", min_words: int = 6, edits: int = 2) -> DataFrame:
