@@ -148,6 +148,29 @@ def test_modularity_decides(spark):
     assert all(got[i] == 0 for i in range(30)) and all(got[i] == 30 for i in range(30, 60)) and got[60] in (0, 30)
 
 
+def test_codes_of_some_ids(spark):
+    """Only the codes that are asked for leave their task; many ids are joined with the same result."""
+    codes = spark.createDataFrame([(i, bytes([i % 256])) for i in range(1000)], "id bigint, code binary")
+    ids = spark.createDataFrame([(i,) for i in (5, 7, 7, 999, 5000)], "id bigint")
+    few = clusters.codes_of(codes, ids)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    for got in (few, clusters.codes_of(codes, ids, most=1)):
+        assert sorted((r.id, bytes(r.code)) for r in got.collect()) == [(5, b"\x05"), (7, b"\x07"), (999, b"\xe7")]
+    assert clusters.codes_of(codes, ids.limit(0)).count() == 0
+
+
+def test_levels_send_only_typical_codes(spark, monkeypatch):
+    """Two clumps that unite on a further level: what is joined there are the codes of four members each, not all."""
+    rng = np.random.default_rng(11)
+    c, o = np.linalg.qr(rng.standard_normal((64, 2)))[0].T
+    img = [v + 0.001 * rng.standard_normal(64) for v in (c, 0.93 * c + np.sqrt(1 - 0.93**2) * o) for _ in range(20)] + list(rng.standard_normal((60, 64)))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(img)], "row_id bigint, v array<float>")
+    seen, estimated = [], clusters._estimated
+    monkeypatch.setattr(clusters, "_estimated", lambda pairs, typical, codes, weak: seen.append((typical.count(), codes.count())) or estimated(pairs, typical, codes, weak))
+    got = {(r.first_row_id, r.row_id) for r in clusters.clusters_found({"a": (df, "row_id", "v")}).collect()}
+    assert got == {(0, i) for i in range(40)} and 0 < seen[0][0] == seen[0][1] < 40
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 102), (200, 200)]

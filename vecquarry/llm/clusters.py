@@ -76,7 +76,7 @@ def neighbour_graph(vectors: DataFrame, codes: DataFrame, n: int, k: int = 6, le
     join what the k best leave apart, for instance two clumps of more than k near copies each."""
     flag = F.lit(True)
     asked = vectors.select("kind", "id", flag.alias("stored"), flag.alias("asks"), "vec")
-    found = nearest(asked, Hashing.planned(n), {0: weak, 1: weak}, k, by_kind=True, selfless=True, mutual=True, joined=least)
+    found = nearest(asked, Hashing.planned(n), {0: weak, 1: weak}, k, by_kind=True, selfless=True, mutual=True, joined=least, spare=0)
     links = cut(_ranked(found.select("id", "nn", "cos", F.lit(0).alias("old"), (F.col("err") < 0).alias("bridge")), k))
     while True:
         new = cut(descend(links, codes, k, weak), instead=links)
@@ -107,14 +107,35 @@ def merged(best: DataFrame) -> DataFrame:
             return state.select("id", "com")
 
 
-def _estimated(pairs: DataFrame, named: DataFrame, codes: DataFrame, weak: float, typical: int = 4) -> DataFrame:
-    """``a, b, w``: the weight of all similar pairs of two linked communities, estimated from their ``typical`` members of
-    the highest degree: the neighbour lists hold only a few links a vector, and none between two clumps of near copies."""
+def _typical(pairs: DataFrame, named: DataFrame, most: int = 4) -> DataFrame:
+    """``com, id, n``: the ``most`` members of the highest degree of each linked community, and the number of all its members."""
     linked = pairs.select(F.explode(F.array("a", "b")).alias("com")).distinct()
     top = F.row_number().over(Window.partitionBy("com").orderBy(F.desc("degree"), "id"))
     here = named.join(linked, "com", "left_semi")
-    reps = here.withColumn("r", top).filter(F.col("r") <= typical).join(codes, "id").groupBy("com").agg(F.collect_list("code").alias("codes"))
-    reps = reps.join(here.groupBy("com").agg(F.count("*").alias("n")), "com")
+    return here.withColumn("r", top).filter(F.col("r") <= most).select("com", "id").join(here.groupBy("com").agg(F.count("*").alias("n")), "com")
+
+
+def codes_of(codes: DataFrame, ids: DataFrame, most: int = 10_000_000) -> DataFrame:
+    """The rows of ``codes`` with an ``id`` of ``ids``. Up to ``most`` ids go to all tasks, 8 bytes each, so no other code is
+    shuffled; more are joined."""
+    if ids.count() > most:
+        return codes.join(ids.select("id"), "id", "left_semi")
+    sent = codes.sparkSession.sparkContext.broadcast(np.unique(ids.select("id").toArrow().column("id").to_numpy()))
+
+    def run(batches):
+        wanted = sent.value
+        for b in batches:
+            at = np.asarray(b.column("id"))
+            there = wanted[np.minimum(np.searchsorted(wanted, at), len(wanted) - 1)] == at if len(wanted) else np.zeros(len(at), bool)
+            yield b.filter(pa.array(there))
+
+    return codes.mapInArrow(run, codes.schema)
+
+
+def _estimated(pairs: DataFrame, typical: DataFrame, codes: DataFrame, weak: float) -> DataFrame:
+    """``a, b, w``: the weight of all similar pairs of two linked communities, estimated from their ``typical`` members:
+    the neighbour lists hold only a few links a vector, and none between two clumps of near copies."""
+    reps = typical.join(codes, "id").groupBy("com").agg(F.collect_list("code").alias("codes"), F.first("n").alias("n"))
     pairs = pairs.select("a", "b")
     for end in ("a", "b"):
         pairs = pairs.join(reps.select(F.col("com").alias(end), F.col("codes").alias(f"c_{end}"), F.col("n").alias(f"n_{end}")), end)
@@ -156,7 +177,10 @@ def communities(links: DataFrame, codes: DataFrame, resolution: float = 0.1, wea
     part, level = components(pairs.select("a", "b")), 1
     while True:
         if level > 1:
-            pairs = cut(_estimated(pairs, named, codes, weak), instead=pairs)
+            typical = cut(_typical(pairs, named))
+            # Communities that unite were linked, so from here on the typical ones are among the typical ones of their parts.
+            codes = cut(codes_of(codes, typical)) if level == 2 else codes
+            pairs = cut(_estimated(pairs, typical, codes, weak), instead=pairs)
         if not pairs.limit(1).count():
             return named.select("id", "com", "top")
         sums = named.groupBy(F.col("com").alias("id")).agg((F.count("*") * (F.count("*") - 1)).cast("double").alias("within"), F.sum("k").alias("k"))

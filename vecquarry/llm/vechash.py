@@ -391,7 +391,8 @@ class Forest:
 @dataclass(frozen=True)
 class Search:
     """What a block's search keeps. ``mutual``: a stored vector that asks also takes visitors of its kind as neighbours.
-    ``joined``: where links of at least this cosine join what the ``k`` best leave apart, they come too, with a negative ``err``."""
+    ``joined``: where links of at least this cosine join what the ``k`` best leave apart, they come too, with a negative ``err``.
+    ``spare``: most hits beyond the ``k`` best of a block that come because they may be as good; none are needed where the codes' cosines decide."""
 
     hashing: Hashing
     least: dict[int, float]
@@ -400,6 +401,7 @@ class Search:
     selfless: bool = False
     mutual: bool = False
     joined: float | None = None
+    spare: int = 8
 
 
 class Block:
@@ -506,13 +508,13 @@ class Block:
         err = rest[q] + self.rest[b] + np.float32(4e-6)
         on = cos + err >= least[q]
         q, b, cos, err = q[on], b[on], cos[on], err[on]
-        top = _best(q, cos, self.ids[b], s.k)
+        top = _best(q, cos, self.ids[b], s.k, spare=s.spare)
         yield _hits(kind[q[top]], ids[q[top]], self.ids[b[top]], cos[top], err[top])
         if self.forest is not None:
             self.links.append((ids[q[top]], self.ids[b[top]], cos[top] - err[top] >= s.joined))
         if s.mutual and places is None:
             on = np.flatnonzero(self.asks[b] & (self.kind[b] == kind[q]))
-            on = on[_best(b[on], cos[on], ids[q[on]], s.k)]
+            on = on[_best(b[on], cos[on], ids[q[on]], s.k, spare=s.spare)]
             self.taken.append((b[on], ids[q[on]], cos[on], err[on]))
             if sum(len(t[0]) for t in self.taken) > 4 * self.s.k * max(n, 50_000):
                 self.take()
@@ -522,7 +524,7 @@ class Block:
 
     def take(self):
         b, nn, cos, err = (np.concatenate(c) for c in zip(*self.taken, strict=True))
-        top = _best(b, cos, nn, self.s.k)
+        top = _best(b, cos, nn, self.s.k, spare=self.s.spare)
         self.taken = [(b[top], nn[top], cos[top], err[top])]
 
     def _joined(self, ids, x, rest, kind) -> None:
